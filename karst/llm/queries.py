@@ -1,10 +1,12 @@
 """The queries of this subpackage and, where SQL expresses them, their SQL."""
 
-from . import exact, simhash
+from . import byte_bpe, exact, packing, simhash
 
 QUERIES = {
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_exact_dedup": exact.op4_exact_dedup,
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 ORACLES = {
     "op4_exact_dedup": exact.OP4_SQL,
