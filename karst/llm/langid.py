@@ -209,6 +209,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_i
     return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, columns as they are, whose text the model does not reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def taken(texts: pd.Series) -> pd.Series:
+        return pd.Series([not shared.value.predict(t)[2] for t in texts], dtype=bool)
+
+    return docs.filter(taken(as_text(text)))
+
+
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return identify(docs, fit(docs))

@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL expresses them, their SQL."""
 
-from . import byte_bpe, exact, langid, packing, pseudonyms, simhash, syncmers, token_output
+from . import automata, byte_bpe, exact, langid, packing, pseudonyms, simhash, suffix_levels, syncmers, token_output
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -8,8 +8,10 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op5_token_matrices": token_output.op5_token_matrices,
+    "op6_suffix_dedup": suffix_levels.op6_suffix_dedup,
     "op7_syncmer_fingerprints": syncmers.op7_syncmer_fingerprints,
     "op8_pii_pseudonyms": pseudonyms.op8_pii_pseudonyms,
+    "op9_substring_dedup": automata.op9_substring_dedup,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 ORACLES = {
