@@ -24,7 +24,8 @@ them is kept.  Local parts and secrets have no fixed size and get keyed hashes.
 
 Defined results: null text stays null, with no findings; empty text stays empty;
 a null key is refused; repeated rows get equal rows; an empty table gives no
-rows; other columns of the input are kept as they are.
+rows; other columns of the input are kept as they are, but for n_pii and pii_kinds,
+which are replaced.
 """
 
 from __future__ import annotations
@@ -178,19 +179,19 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     if not key:
         raise ValueError("a key is needed")
     column = F.col(text)
+    old, new = (next(n for k in range(len(docs.columns) + 1) if (n := f"_{name}{k}") not in docs.columns) for name in ("found", "new"))
     may = column.rlike("[0-9@]|[0-9a-fA-F]{32}")
-    found = F.when(may, F.regexp_extract_all(column, F.lit(PATTERN), F.lit(0)))
-    rows = docs.withColumn("_found", found)
-    swapped = F.transform("_found", lambda v: F.struct(kind_of(v).alias("kind"), pseudonym(v, key).alias("new")))
-    rows = rows.withColumn("_new", F.when(F.size("_found") > 0, swapped))
+    rows = docs.withColumn(old, F.when(may, F.regexp_extract_all(column, F.lit(PATTERN), F.lit(0))))
+    swapped = F.transform(old, lambda v: F.struct(kind_of(v).alias("kind"), pseudonym(v, key).alias("new")))
+    rows = rows.withColumn(new, F.when(F.size(old) > 0, swapped))
     between = F.split(column, PATTERN, -1)
-    joined = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size("_found")), "_new", lambda a, b: F.concat(a, b["new"])), ""), F.element_at(between, -1))
-    kinds = F.filter(F.transform("_new", lambda v: v["kind"]), lambda k: k.isNotNull())
+    joined = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(old)), new, lambda a, b: F.concat(a, b["new"])), ""), F.element_at(between, -1))
+    kinds = F.filter(F.transform(new, lambda v: v["kind"]), lambda k: k.isNotNull())
     return (
         rows.withColumn("n_pii", F.coalesce(F.size(kinds), F.lit(0)))
         .withColumn("pii_kinds", F.coalesce(F.array_sort(F.array_distinct(kinds)), F.array().cast("array<string>")))
-        .withColumn(text, F.when(F.col("_new").isNotNull(), joined).otherwise(column))
-        .drop("_found", "_new")
+        .withColumn(text, F.when(F.col(new).isNotNull(), joined).otherwise(column))
+        .drop(old, new)
     )
 
 
