@@ -1,5 +1,8 @@
 """Conditions as Spark columns, with two-valued comparison: NULL equals no value and differs from every value.
 
+A comparison with NULL is NULL, which a filter, AND and OR treat as false; ``negate`` and all
+negative conditions turn it into false first.  So plain conditions reach the scan as they are.
+
 A column may be given by name or as a column; values stay values unless they are columns.
 """
 
@@ -27,7 +30,7 @@ def _plain(test: Column) -> Column:
 
 
 def eq(c, v) -> Column:
-    return column(c).isNull() if v is None else _plain(column(c) == value(v))
+    return column(c).isNull() if v is None else column(c) == value(v)
 
 
 def ne(c, v) -> Column:
@@ -40,35 +43,35 @@ def exactly(c, v) -> Column:
 
 
 def gt(c, v) -> Column:
-    return _plain(column(c) > value(v))
+    return column(c) > value(v)
 
 
 def gte(c, v) -> Column:
-    return _plain(column(c) >= value(v))
+    return column(c) >= value(v)
 
 
 def lt(c, v) -> Column:
-    return _plain(column(c) < value(v))
+    return column(c) < value(v)
 
 
 def lte(c, v) -> Column:
-    return _plain(column(c) <= value(v))
+    return column(c) <= value(v)
 
 
 def like(c, pattern: str) -> Column:
-    return _plain(column(c).like(pattern))
+    return column(c).like(pattern)
 
 
 def not_like(c, pattern: str) -> Column:
-    return ~like(c, pattern)
+    return negate(like(c, pattern))
 
 
 def starts_with(c, v: str) -> Column:
-    return _plain(F.startswith(column(c), value(v)))
+    return F.startswith(column(c), value(v))
 
 
 def ends_with(c, v: str) -> Column:
-    return _plain(F.endswith(column(c), value(v)))
+    return F.endswith(column(c), value(v))
 
 
 def is_null(c) -> Column:
@@ -81,12 +84,12 @@ def is_not_null(c) -> Column:
 
 def contains(c, v) -> Column:
     """Part of a string."""
-    return _plain(F.contains(column(c), value(v)))
+    return F.contains(column(c), value(v))
 
 
 def has(c, v) -> Column:
     """Member of an array."""
-    return F.lit(False) if v is None else _plain(F.array_contains(column(c), value(v)))
+    return F.lit(False) if v is None else F.array_contains(column(c), value(v))
 
 
 def _array(values) -> Column:
@@ -94,16 +97,16 @@ def _array(values) -> Column:
 
 
 def contains_any(c, values) -> Column:
-    return _plain(F.arrays_overlap(column(c), _array(values)))
+    return F.arrays_overlap(column(c), _array(values))
 
 
 def contains_all(c, values) -> Column:
-    return _plain(F.size(F.array_except(_array(values), column(c))) == 0)
+    return F.size(F.array_except(_array(values), column(c))) == 0
 
 
 def contains_none(c, values) -> Column:
     """NULL contains none."""
-    return ~contains_any(c, values)
+    return negate(contains_any(c, values))
 
 
 def inside(c, values) -> Column:
@@ -111,23 +114,24 @@ def inside(c, values) -> Column:
     if isinstance(values, DataFrame):
         return in_query(c, values)
     if isinstance(values, Column):
-        return _plain(F.array_contains(values, column(c)))
+        return F.array_contains(values, column(c))
     values = [v for v in values if v is not None]
-    return _plain(column(c).isin(*values)) if values else F.lit(False)
+    return column(c).isin(*values) if values else F.lit(False)
 
 
 in_ = inside
 
 
 def not_inside(c, values) -> Column:
-    return ~inside(c, values)
+    return negate(inside(c, values))
 
 
 def in_query(c, query: DataFrame) -> Column:
     """Among the values of a query of one column. Spark plans it as a semi join, its negation as an anti join."""
     if len(query.columns) != 1:
         raise ValueError("a subquery for IN has one column")
-    inner = query.toDF("_in_query")
+    # behind an alias only _in_query is to be seen, so the outer column can't be taken for one of the query's own
+    inner = query.toDF("_in_query").alias("_in")
     return inner.filter(F.col("_in_query") == column(c).outer()).exists()
 
 
@@ -135,16 +139,16 @@ def intersects(point, ring) -> Column:
     """A point in or an array overlapping another."""
     from .functions import geo
 
-    return _plain(geo.within(point, ring))
+    return geo.within(point, ring)
 
 
 def outside(point, ring) -> Column:
-    return ~intersects(point, ring)
+    return negate(intersects(point, ring))
 
 
 def raw(text: str) -> Column:
     """Spark SQL text, standing in brackets."""
-    return _plain(F.expr(f"({text})"))
+    return F.expr(f"({text})")
 
 
 def all_of(*tests: Column) -> Column:
