@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 from ..database import Database
-from ..functions import count, math
+from ..functions import count, math, type_
 from ..operators import graph, mutate, numbering, search
 from ..plans.select import Select
 
@@ -120,6 +120,7 @@ _words("filter_containsany", "list_has_any(w, ['the', 'der'])", lambda w: w.cont
 _words("filter_containsall", "list_has_all(w, ['the', 'of'])", lambda w: w.contains_all("w", ["the", "of"]))
 _words("filter_containsnone", "NOT list_has_any(w, ['the', 'der'])", lambda w: w.contains_none("w", ["the", "der"]))
 _words("filter_inside_array", "list_contains(w, 'la')", lambda w: w.inside(F.lit("la"), F.col("w")))
+simple("filter_intersects", "SELECT s_suppkey FROM supplier WHERE s_suppkey % 80 BETWEEN 0 AND 39 AND s_suppkey % 70 < 40", lambda db: Select(_Shown(db, places=lambda: db.frame("supplier").select("s_suppkey", type_.point(F.col("s_suppkey") % 80 + 0.5, F.col("s_suppkey") % 70 + 0.5).alias("p"))), "places").where(lambda w: w.intersects(F.col("p"), F.array(*(type_.point(F.lit(x), F.lit(y)) for x, y in ((0, 0), (40, 0), (40, 40), (0, 40)))))).fields("s_suppkey"))
 BIG = "(SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"
 big = lambda db: db.select("orders").where(lambda w: w.gt("o_totalprice", 300000)).fields("o_custkey").df()
 simple("in_subquery", f"SELECT c_custkey, c_name FROM customer WHERE c_custkey IN {BIG}", lambda db: db.select("customer").where(lambda w: w.in_("c_custkey", big(db))).fields("c_custkey", "c_name"))

@@ -399,3 +399,18 @@ def test_conform_types(spark):
     df = spark.createDataFrame([("t:1", "2024-01-15", ["b", "a", "b"], 5)], "id string, when string, tags array<string>, extra int")
     row = t.conform(df).first()
     assert row["when"] == datetime.datetime(2024, 1, 15) and row["tags"] == ["a", "b"] and row["extra"] == 5
+
+
+def test_settings_and_command_line(spark, tmp_path, capsys):
+    from karst import config
+    from karst.__main__ import main
+
+    (tmp_path / "schema.py").write_text("from karst import schema as S\nfrom karst.plans.ddl import Model\nMODEL = Model().add(S.Table('karst_cli', {'a': S.int_(optional=True)}))\n")
+    (tmp_path / "karst.jsonc").write_text('{"schema": "%s/schema.py", /* "x" */ "migrations": "%s/m", "spark": {"a": "//b"}, }' % (tmp_path, tmp_path))
+    found = config.load(start=tmp_path)
+    assert found.spark == {"a": "//b"} and config.load(start="/") == config.Config()
+    args = ["--config", str(tmp_path / "karst.jsonc")]
+    assert main([*args, "generate", "first"], spark) == main([*args, "shadow"], spark) == main([*args, "migrate"], spark) == 0
+    assert main([*args, "status"], spark) == 0 and "applied 0000_first" in capsys.readouterr().out
+    assert main([*args, "query", "DROP TABLE karst_cli"], spark) == 0
+    spark.sql("DROP TABLE karst_migrations")
