@@ -52,35 +52,32 @@ class Automaton:
 
     def add(self, symbols: list[int]) -> None:
         """Appends a passage; none reaches across from the one before."""
+        nxt, link, size, last = self.next, self.link, self.size, self.last
         self.breaks -= 1
-        self._extend(self.breaks)  # a symbol that occurs nowhere else
-        for c in symbols:
-            self._extend(c)
-
-    def _extend(self, c: int) -> None:
-        nxt, link, size = self.next, self.link, self.size
-        new = len(nxt)
-        nxt.append({})
-        size.append(size[self.last] + 1)
-        link.append(0)
-        p = self.last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = new
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][c]
-            if size[q] == size[p] + 1:
-                link[new] = q
-            else:
-                clone = len(nxt)
-                nxt.append(dict(nxt[q]))
-                size.append(size[p] + 1)
-                link.append(link[q])
-                while p >= 0 and nxt[p].get(c) == q:
-                    nxt[p][c] = clone
-                    p = link[p]
-                link[q] = link[new] = clone
-        self.last = new
+        for c in (self.breaks, *symbols):  # first a symbol that occurs nowhere else
+            new = len(nxt)
+            nxt.append({})
+            size.append(size[last] + 1)
+            link.append(0)
+            p = last
+            while p >= 0 and c not in nxt[p]:
+                nxt[p][c] = new
+                p = link[p]
+            if p >= 0:
+                q = nxt[p][c]
+                if size[q] == size[p] + 1:
+                    link[new] = q
+                else:
+                    clone = len(nxt)
+                    nxt.append(nxt[q].copy())
+                    size.append(size[p] + 1)
+                    link.append(link[q])
+                    while p >= 0 and nxt[p].get(c) == q:
+                        nxt[p][c] = clone
+                        p = link[p]
+                    link[q] = link[new] = clone
+            last = new
+        self.last = last
 
     def statistics(self, symbols: list[int]) -> np.ndarray:
         """For each symbol the length of the longest known passage that ends there."""
@@ -135,13 +132,19 @@ def earlier_windows(length: int):
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["doc", "first"])
+        data = x["data"].tolist()
+        places = np.cumsum([0] + [len(d) + 1 for d in data])
+        values, starts, _ = zones.word_values(b"\n".join(data))
+        symbols = np.unique(values, return_inverse=True)[1].tolist()
+        bounds = np.searchsorted(starts, places).tolist()
         automaton, out = Automaton(), []
-        for doc, first, data in zip(x["doc"], x["first"], x["data"]):
-            symbols = zones.word_values(data)[0].tolist()
-            end = np.flatnonzero(automaton.statistics(symbols) >= length) + 1  # windows end before these
-            a, b = zones.merged(end - length, end)
-            out += [(doc, first + i, first + j) for i, j in zip(a.tolist(), b.tolist())]
-            automaton.add(symbols)
+        for doc, first, lo, hi in zip(x["doc"].tolist(), x["first"].tolist(), bounds, bounds[1:]):
+            own = symbols[lo:hi]
+            end = np.flatnonzero(automaton.statistics(own) >= length) + 1  # windows end before these
+            if len(end):
+                a, b = zones.merged(end - length, end)
+                out += [(doc, first + i, first + j) for i, j in zip(a.tolist(), b.tolist())]
+            automaton.add(own)
         return pd.DataFrame(out, columns=["doc", "start", "end"])
 
     return compare

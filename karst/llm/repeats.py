@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import zones
@@ -37,6 +37,8 @@ from .scratch import as_text
 
 #: Zones under one head that are compared in one task.
 CROWD = 512
+#: Zones that a task compares at a time.
+TOGETHER = 1000
 #: A spot is where a zone starts, times this, plus its windows, and the top bit of these if the document has the zone before.
 SPOT, AGAIN = 1 << 13, 1 << 12
 #: Stands for a null doc_id, which comes before all others.
@@ -132,8 +134,8 @@ def summed(partial: DataFrame) -> DataFrame:
 
 def shared(whole: DataFrame) -> DataFrame:
     """Entries that can matter, with the number of zones under their head."""
-    count = whole.groupBy("head").agg(F.count(F.lit(1)).alias("zones"))
-    return whole.join(count, "head").filter("n > 1 or zones > 1")
+    zones_of = F.count(F.lit(1)).over(Window.partitionBy("head"))  # heads are together already: no shuffle
+    return whole.withColumn("zones", zones_of).filter("n > 1 or zones > 1")
 
 
 def repeated_zones(found: DataFrame, rows: DataFrame, units: Units, later: bool) -> DataFrame:
@@ -166,7 +168,16 @@ def zone_units(found: DataFrame, rows: DataFrame, units: Units) -> DataFrame:
 
 
 def by_head(rows: DataFrame, compare: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """compare() of the rows of some whole heads at a time, at most a batch and a crowd of them."""
+    """compare() of the rows of some whole heads at a time, not many more than ``TOGETHER`` rows and a crowd."""
+
+    def some(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        heads = x["head"].to_numpy()
+        ends = np.append(np.flatnonzero(heads[1:] != heads[:-1]) + 1, len(x))
+        at = 0
+        while at < len(x):
+            to = int(ends[min(np.searchsorted(ends, at + TOGETHER), len(ends) - 1)])
+            yield compare(x.iloc[at:to])
+            at = to
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -176,11 +187,10 @@ def by_head(rows: DataFrame, compare: Callable[[pd.DataFrame], pd.DataFrame], sc
                 continue
             heads = x["head"].to_numpy()
             cut = int(np.flatnonzero(heads != heads[-1])[-1] + 1) if heads[0] != heads[-1] else 0
-            if cut:
-                yield compare(x.iloc[:cut])
+            yield from some(x.iloc[:cut])
             rest = x.iloc[cut:]
-        if rest is not None and len(rest):
-            yield compare(rest)
+        if rest is not None:
+            yield from some(rest)
 
     return rows.repartition("head").sortWithinPartitions("head").mapInPandas(run, schema)
 

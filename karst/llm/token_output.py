@@ -13,9 +13,9 @@ length.  Written to files is, for each matrix row:
   (zero in the padding);
 * ``doc_ids`` and ``pieces``: what each segment is a piece of.
 
-The corpus is dealt into shards by a hash of (doc_id, piece); each shard is packed
-by one task and a shard's rows are gathered by row number, so no task holds more
-than a shard's lengths or one matrix row's ids.
+The corpus is dealt into shards of about ``SHARD_BYTES`` of text by a hash of (doc_id,
+piece), so no key decides a shard's size. The ids move once: the task that gets a
+shard packs it and lays out its rows.
 
 Defined results: null text is empty text, whose piece is its end id alone; repeated
 rows are packed once each; a null doc_id stays null; an empty table writes an
@@ -29,11 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import SHARD_PIECES, token_pieces
-from .scratch import documents, new_path, stage
+from .packing import token_pieces
+from .scratch import as_text, documents, new_path
 
 ROW_TOKENS = 2048
 PAD_ID = 0
+#: Bytes of text whose pieces are packed together by one task.
+SHARD_BYTES = 1 << 24
 
 
 class CapacityTree:
@@ -90,44 +92,44 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return rows, offsets
 
 
-def placed(pieces: DataFrame, row_tokens: int = ROW_TOKENS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """pieces with (shard, row, offset)."""
-    shards = max(1, -(-pieces.count() // shard_pieces))
-    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "piece"), F.lit(shards)).cast("int")
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["doc_id", "piece"]).reset_index(drop=True)
-        x["row"], x["offset"] = best_fit_decreasing(x["length"].to_numpy(), row_tokens)
-        return x
-
-    slim = pieces.select("key", "doc_id", "piece", "length").withColumn("shard", shard)
-    return slim.groupBy("shard").applyInPandas(run, "key long, doc_id long, piece int, length long, shard int, row long, offset long")
-
-
-def write_matrices(docs: DataFrame, tokenizer_path: str, path: str, row_tokens: int = ROW_TOKENS, text: str = "text", id: str = "doc_id", shard_pieces: int = SHARD_PIECES) -> DataFrame:
+MATRICES = "shard int, row long, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, pieces array<int>"
+
+
+def laid_out(x: pd.DataFrame, shard: int, row_tokens: int) -> pd.DataFrame:
+    """The matrix rows of one shard's pieces."""
+    x = x.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
+    lengths = x["length"].to_numpy()
+    row, offset = best_fit_decreasing(lengths, row_tokens)
+    order = np.lexsort((offset, row))
+    starts = np.flatnonzero(np.diff(row[order], prepend=-1))
+    counting = np.arange(row_tokens, dtype="<u2").tobytes()
+    ids, docs, pieces = x["ids"].to_numpy(), x["doc_id"].to_numpy(), x["piece"].to_numpy()
+    out = []
+    for own in np.split(order, starts[1:]):
+        cuts = np.concatenate(([0], np.cumsum(lengths[own])))
+        padding = row_tokens - int(cuts[-1])
+        out.append((
+            shard,
+            row[own[0]],
+            int(cuts[-1]),
+            b"".join(ids[own]) + np.full(padding, PAD_ID, dtype="<u2").tobytes(),
+            cuts.tolist(),
+            b"".join(counting[: 2 * n] for n in lengths[own]) + bytes(2 * padding),
+            [None if pd.isna(d) else int(d) for d in docs[own]],
+            pieces[own].tolist(),
+        ))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in MATRICES.split(", ")])
+
+
+def write_matrices(docs: DataFrame, tokenizer_path: str, path: str, row_tokens: int = ROW_TOKENS, text: str = "text", id: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Packs docs, writes the matrices to path as Parquet and returns what reads them."""
-    pieces = token_pieces(docs, tokenizer_path, row_tokens, text, id, "<u2").withColumn("key", F.monotonically_increasing_id())
-    pieces = stage(pieces, "ids")
-    rows = pieces.select("key", "ids").join(placed(pieces, row_tokens, shard_pieces), "key")
-    # one group is one matrix row: at most row_tokens segments
-    segments = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "ids")))
-    rows = rows.groupBy("shard", "row").agg(segments.alias("s"))
-    used = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["length"])
-    joined = F.aggregate("s", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
-    counting = F.lit(np.arange(row_tokens, dtype="<u2").tobytes())
-    positions = F.aggregate("s", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, F.substring(counting, F.lit(1), (x["length"] * 2).cast("int"))))
-    blank, padding = F.lit(b"\0" * (2 * row_tokens)), F.lit(np.full(row_tokens, PAD_ID, "<u2").tobytes())
-    left = ((F.lit(row_tokens) - used) * 2).cast("int")
-    rows = rows.select(
-        "shard",
-        "row",
-        used.cast("int").alias("n_tokens"),
-        F.concat(joined, F.substring(padding, F.lit(1), left)).alias("ids"),
-        F.concat(F.transform("s", lambda x: x["offset"].cast("int")), F.array(used.cast("int"))).alias("cu_seqlens"),
-        F.concat(positions, F.substring(blank, F.lit(1), left)).alias("positions"),
-        F.transform("s", lambda x: x["doc_id"]).alias("doc_ids"),
-        F.transform("s", lambda x: x["piece"]).alias("pieces"),
-    )
+    if not 1 <= row_tokens <= 1 << 16:
+        raise ValueError("a row has 1 to 65536 tokens")
+    total = docs.agg(F.sum(F.octet_length(as_text(text)))).first()[0] or 0
+    shards = max(1, -(-total // shard_bytes))
+    pieces = token_pieces(docs, tokenizer_path, row_tokens, text, id, "<u2")
+    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "piece"), F.lit(shards)).cast("int")
+    rows = pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(lambda key, x: laid_out(x, int(key[0]), row_tokens), MATRICES)
     rows.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 

@@ -38,6 +38,9 @@ _INV = _powers(pow(_BASE, -1, 1 << 64), _SPAN)
 #: A fixed odd 64-bit value for every byte.
 BYTE_VALUES = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_IN_WORD = np.ones(256, dtype=bool)
+_IN_WORD[[32, *range(9, 14)]] = False
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A finalising permutation of 64-bit values, so that every bit counts."""
@@ -60,10 +63,10 @@ def gram(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def word_values(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit value, start, end) of each word, a run of bytes other than \\x20 and \\x09-\\x0D."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    inside = np.zeros(len(raw) + 2, dtype=np.int8)
-    inside[1:-1] = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inside = np.zeros(len(raw) + 2, dtype=bool)
+    np.take(_IN_WORD, raw, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
     values = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
