@@ -13,8 +13,10 @@ jobs over slim rows:
    all its windows;
 4. what is left are windows of different zones under one head.  One copy of each
    such zone, its units included, goes to its head's task, where the operator
-   compares windows by its own method.  Heads with more than ``crowd`` zones
-   compare windows by hash instead, each window on its own, so no head's zones
+   compares windows by its own method.  Zones under a head with more than ``crowd`` of them
+   are first cut into ``parts`` ranges of windows, each under a longer head: the
+   units that all windows of that range have in common.  Where even those are
+   crowded, windows are compared by hash, each on its own, so no head's zones
    need fit one task;
 5. a document's intervals meet its text.
 
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import zones
-from .scratch import as_text
+from .scratch import as_text, stage
 
 #: Zones under one head that are compared in one task.
 CROWD = 512
@@ -48,11 +50,15 @@ ENTRY = "head long, zone long, n long, doc long, spot long"
 
 @dataclass(frozen=True)
 class Units:
-    """How texts are cut: values(data) gives (64-bit values, starts, ends) of the units in UTF-8 data."""
+    """How texts are cut: values(data) gives (64-bit values, starts, ends) of the units in UTF-8 data.
+
+    parts: ranges of windows that zones under a crowded head are cut into.
+    """
 
     values: Callable
     length: int
     head: int
+    parts: int = 1
 
 
 def byte_values(data: bytes):
@@ -61,8 +67,8 @@ def byte_values(data: bytes):
     return zones.BYTE_VALUES[raw], at[:-1], at[1:]
 
 
-def by_bytes(length: int, head: int = 32) -> Units:
-    return Units(byte_values, length, min(head, length))
+def by_bytes(length: int, head: int = 32, parts: int = 8) -> Units:
+    return Units(byte_values, length, min(head, length), parts)
 
 
 def by_words(length: int, head: int = 4) -> Units:
@@ -195,6 +201,34 @@ def by_head(rows: DataFrame, compare: Callable[[pd.DataFrame], pd.DataFrame], sc
     return rows.repartition("head").sortWithinPartitions("head").mapInPandas(run, schema)
 
 
+def longer_heads(rows: DataFrame, units: Units) -> DataFrame:
+    """rows of ``zone_units`` cut into ranges of windows, under the head that each range has in common; zones counts anew.
+
+    A window's range follows from how far its anchor stands behind its start, so equal windows get equal heads.
+    Ranges whose head is alone are left out, as none of their windows occurs elsewhere.
+    """
+    width = -(-(units.length - units.head + 1) // units.parts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for head, doc, first, n, data in zip(x["head"].tolist(), x["doc"].tolist(), x["first"].tolist(), x["n"].tolist(), x["data"]):
+                values, starts, ends = units.values(data)
+                sums, spots = zones.prefix(values), np.arange(len(values) - units.head + 1)
+                lead = int(np.argmax(zones.gram(sums, spots, spots + units.head).view(np.int64) == head))  # the leftmost: else another would be elected
+                windows = len(values) - units.length + 1
+                for k in range(max(lead - windows + 1, 0) // width, lead // width + 1):
+                    i, j = max(lead - (k + 1) * width + 1, 0), min(lead - k * width, windows - 1)
+                    a, b = np.array([lead - k * width]), np.array([lead - min((k + 1) * width - 1, units.length - units.head) + units.length])
+                    own = zones.mix(zones.gram(sums, a, b) + np.uint64(k)).view(np.int64)[0]
+                    out.append((own, doc, first + i, n, data[starts[i] : ends[j + units.length - 1]]))
+            yield pd.DataFrame(out, columns=["head", "doc", "first", "n", "data"])
+
+    cut = stage(rows.mapInPandas(run, "head long, doc long, first long, n long, data binary"), "ranges")
+    held = cut.groupBy("head").agg(F.count(F.lit(1)).alias("zones")).filter("zones > 1")
+    return cut.join(held, "head").select("head", "doc", "first", "n", "zones", "data")
+
+
 def crowded_windows(rows: DataFrame, units: Units, later: bool) -> DataFrame:
     """(doc, start, end) of repeated windows under crowded heads: windows are compared by head and hash."""
 
@@ -228,7 +262,12 @@ def intervals(rows: DataFrame, found: DataFrame, units: Units, compare: Callable
         out = out.unionByName(by_head(few, compare, "doc long, start long, end long"))
     many = border.filter(F.col("zones") > crowd)
     if not many.isEmpty():
-        out = out.unionByName(crowded_windows(zone_units(many, rows, units), units, later))
+        crowded = zone_units(many, rows, units)
+        if units.parts > 1:
+            cut = stage(longer_heads(crowded, units), "cut")
+            out = out.unionByName(by_head(cut.filter(F.col("zones") <= crowd), compare, "doc long, start long, end long"))
+            crowded = cut.filter(F.col("zones") > crowd)
+        out = out.unionByName(crowded_windows(crowded, units, later))
     return out
 
 
