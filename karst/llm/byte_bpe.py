@@ -100,6 +100,9 @@ class Codec:
         self.token = [b""] * (max(self.rank, default=-1) + 1)
         for t, r in ranks.items():
             self.token[r] = t
+        # merging starts from single bytes and pairs of them: their ranks, without a hash
+        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.pair = {t: r for t, r in ranks.items() if len(t) == 2}
         self.cache: dict[str, bytes] = {}
 
     def __getstate__(self):
@@ -121,10 +124,13 @@ class Codec:
         n = len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         end = list(range(1, n + 1))
+        ids = [self.single[b] for b in word]
+        if -1 in ids:
+            raise ValueError("the vocabulary lacks a single byte of this text")
         heap = []
         for i in range(n - 1):
-            r = self.lookup(word[i : i + 2])
-            if r >= 0:
+            r = self.pair.get(word[i : i + 2])
+            if r is not None:
                 heap.append((r, i, i + 2))
         heapify(heap)
         alive = [True] * n
@@ -134,6 +140,7 @@ class Codec:
             if j >= n or end[j] != stop or not alive[i]:
                 continue  # one of its halves has merged meanwhile
             alive[j] = False
+            ids[i] = r
             end[i], after[i] = stop, after[j]
             if after[j] < n:
                 before[after[j]] = i
@@ -147,10 +154,8 @@ class Codec:
                     heappush(heap, (s, k, stop))
         out, i = [], 0
         while i < n:
-            out.append(self.lookup(word[i : end[i]]))
+            out.append(ids[i])
             i = after[i]
-        if -1 in out:
-            raise ValueError("the vocabulary lacks a single byte of this text")
         return out
 
     def word(self, token: str) -> bytes:
