@@ -191,13 +191,37 @@ def _depth_sql(least: int, most: int) -> str:
 simple("traverse_depth_bounded", _depth_sql(1, 3), lambda db: graph.reach(sources(db), edges(db), 1, 3))
 
 
-@query(_depth_sql(2, 40))
-def traverse_depth_unbounded(db):
+def _rounds(db: Files) -> str:
     import tempfile
 
     # on a cluster the rounds go to the folder that it shares; a temporary one is for tests in one process
-    folder = db.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="karst-")
-    return graph.reach(sources(db), edges(db), 2, None, folder=folder)
+    return db.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="karst-")
+
+
+@query(_depth_sql(2, 40))
+def traverse_depth_unbounded(db):
+    return graph.reach(sources(db), edges(db), 2, None, folder=_rounds(db))
+
+
+def links(db: Files) -> DataFrame:
+    """Every link of the tables as an edge; orders point back to their customers, so there are cycles."""
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    placed, uses = _graph(db).frame("placed"), _graph(db).frame("uses")
+    found = placed.unionByName(placed.select(F.col("out").alias("in"), F.col("in").alias("out"))).unionByName(uses)
+    found = found.unionByName(db.frame("supplier").select(key("supplier", "s_suppkey").alias("in"), key("nation", "s_nationkey").alias("out")))
+    return found.unionByName(db.frame("nation").select(key("nation", "n_nationkey").alias("in"), key("region", "n_regionkey").alias("out")))
+
+
+def _links_sql(depths: range) -> str:
+    """Each kind of node has one depth in this graph, so no recursion is cut short."""
+    kinds = (("order", "o_orderkey", 1), ("part", "l_partkey", 2), ("supplier", "l_suppkey", 2), ("nation", "s_nationkey", 3), ("region", "n_regionkey", 4))
+    parts = (f"SELECT DISTINCT 'customer:' || c_custkey AS source, '{kind}:' || {c} AS node, {d} AS depth FROM walk WHERE {c} IS NOT NULL" for kind, c, d in kinds if d in depths)
+    return "WITH walk AS (SELECT * FROM customer JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey) " + " UNION ALL ".join(parts)
+
+
+# all customers are sources, all rows of orders, lineitem, supplier and nation are edges
+simple("traverse_depth_bounded_whole", _links_sql(range(1, 4)), lambda db: graph.reach(_graph(db).frame("customers"), links(db), 1, 3, folder=_rounds(db)))
+simple("traverse_depth_unbounded_whole", _links_sql(range(2, 5)), lambda db: graph.reach(_graph(db).frame("customers"), links(db), 2, None, folder=_rounds(db)))
 
 
 # -- aggregation
@@ -255,6 +279,13 @@ FRESH = "SELECT c_custkey * 10 AS c_custkey, 'new ' || c_name AS c_name FROM cus
 simple("insert_many", f"{CU} UNION ALL SELECT c_custkey, c_name, NULL FROM ({FRESH})", lambda db: mutate.insert(cust(db), fresh(db)))
 simple("insert_ignore", f"{CU} UNION ALL SELECT c_custkey, c_name, NULL FROM ({FRESH}) f WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = f.c_custkey)", lambda db: mutate.insert_ignore(cust(db), fresh(db), "c_custkey"))
 simple("create", f"{CU} UNION ALL SELECT -1 - c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey < 5", lambda db: mutate.create(cust(db), cust(db).filter("c_custkey < 5").withColumn("c_custkey", -1 - F.col("c_custkey")), "c_custkey"))
+# the same with rows written from all of customer
+renewed = lambda db: cust(db).select((F.col("c_custkey") * 10).alias("c_custkey"), F.concat(F.lit("new "), "c_name").alias("c_name"))
+RENEWED = "SELECT c_custkey * 10 AS c_custkey, 'new ' || c_name AS c_name FROM customer"
+simple("insert_many_whole", f"{CU} UNION ALL SELECT c_custkey, c_name, NULL FROM ({RENEWED})", lambda db: mutate.insert(cust(db), renewed(db)))
+simple("insert_ignore_whole", f"{CU} UNION ALL SELECT c_custkey, c_name, NULL FROM ({RENEWED}) f WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = f.c_custkey)", lambda db: mutate.insert_ignore(cust(db), renewed(db), "c_custkey"))
+simple("create_whole", f"{CU} UNION ALL SELECT -1 - c_custkey, c_name, c_acctbal FROM customer", lambda db: mutate.create(cust(db), cust(db).withColumn("c_custkey", -1 - F.col("c_custkey")), "c_custkey"))
+simple("upsert_whole", f"SELECT coalesce(f.c_custkey, c.c_custkey) AS c_custkey, coalesce(f.c_name, c.c_name) AS c_name, c.c_acctbal FROM ({CU}) c FULL JOIN ({RENEWED}) f ON c.c_custkey = f.c_custkey", lambda db: mutate.upsert(cust(db), renewed(db), "c_custkey"))
 simple("update_merge", "SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer", lambda db: mutate.update(cust(db), {"c_acctbal": 0}, lambda w: w.lt("c_acctbal", 0)))
 simple("update_replace", "SELECT c_custkey, CASE WHEN c_custkey = 7 THEN 'seven' ELSE c_name END AS c_name, CASE WHEN c_custkey = 7 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer", lambda db: mutate.replace(cust(db), {"c_name": "seven"}, lambda w: w.eq("c_custkey", 7), "c_custkey"))
 simple("upsert", f"SELECT coalesce(f.c_custkey, c.c_custkey) AS c_custkey, coalesce(f.c_name, c.c_name) AS c_name, c.c_acctbal FROM ({CU}) c FULL JOIN ({FRESH}) f ON c.c_custkey = f.c_custkey", lambda db: mutate.upsert(cust(db), fresh(db), "c_custkey"))
