@@ -16,7 +16,7 @@ have equal heads.
 
 Defined results: null text is empty text; documents of fewer than ``length`` words
 lose nothing; of equal passages the first, by doc_id and then by place, stays; rows
-that share a doc_id are one document in that their removals are pooled, rows
+that share a doc_id are documents of their own, in order of their text's xxhash64, rows
 without one too, and come first; an empty table gives no rows; other columns of
 the input play no part.
 """
@@ -153,7 +153,8 @@ def earlier_windows(length: int):
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", id: str = "doc_id", with_text: bool = False, crowd: int = repeats.CROWD) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document (and kept: its remaining words)."""
     units = by_words(length)
-    found = stage(shared(summed(entries(texts(docs, text, id), units))), "shared")
+    rows = texts(docs, text, id)
+    found = stage(shared(summed(entries(rows, units))), "shared")
 
     def finish(data: bytes, starts, ends, a: np.ndarray, b: np.ndarray) -> tuple:
         stay = np.ones(len(starts), dtype=bool)
@@ -164,7 +165,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", id
         return (*out, kept.decode("utf-8")) if with_text else out
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return spans(docs, found, units, earlier_windows(length), True, finish, schema, text, id, crowd)
+    return spans(rows, found, units, earlier_windows(length), True, finish, schema, crowd)
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

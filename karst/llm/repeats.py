@@ -22,6 +22,9 @@ jobs over slim rows:
 
 ``later`` tells which windows count: all that occur anywhere else (False), or
 those that also start earlier, in a smaller doc_id or before in the document (True).
+
+``doc`` is a key of the row, not its doc_id (see ``row_keys``): rows that share a
+doc_id, or have none, are documents of their own.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import zones
+from .row_keys import keyed
 from .scratch import as_text, stage
 
 #: Zones under one head that are compared in one task.
@@ -43,8 +47,6 @@ CROWD = 512
 TOGETHER = 1000
 #: A spot is where a zone starts, times this, plus its windows, and the top bit of these if the document has the zone before.
 SPOT, AGAIN = 1 << 13, 1 << 12
-#: Stands for a null doc_id, which comes before all others.
-NO_ID = -(1 << 63)
 ENTRY = "head long, zone long, n long, doc long, spot long"
 
 
@@ -76,7 +78,10 @@ def by_words(length: int, head: int = 4) -> Units:
 
 
 def texts(docs: DataFrame, text: str, id: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("doc"), as_text(text).alias("text"))
+    """(doc, text, id, bare): doc is the row's own key, in the order of the ids; bare rows have no id."""
+    found = F.col(id).cast("long")
+    rows = docs.select(as_text(text).alias("text"), F.coalesce(found, F.lit(0)).alias("id"), found.isNull().alias("bare"))
+    return keyed(rows, F.when(~F.col("bare"), F.col("id")), "doc").select("doc", "text", "id", "bare")
 
 
 def _utf8(text: str) -> bytes:
@@ -271,9 +276,8 @@ def intervals(rows: DataFrame, found: DataFrame, units: Units, compare: Callable
     return out
 
 
-def spans(docs: DataFrame, found: DataFrame, units: Units, compare, later: bool, finish: Callable, schema: str, text: str, id: str, crowd: int = CROWD) -> DataFrame:
-    """finish(data, starts, ends of the units, spans) of every document; spans: the disjoint repeated stretches in units."""
-    rows = texts(docs, text, id)
+def spans(rows: DataFrame, found: DataFrame, units: Units, compare, later: bool, finish: Callable, schema: str, crowd: int = CROWD) -> DataFrame:
+    """doc_id and finish(data, starts, ends of the units, spans) of every row of ``texts``; spans: the disjoint repeated stretches in units."""
     by_doc = intervals(rows, found, units, compare, later, crowd)
     cut = F.shiftleft("start", 20) + (F.col("end") - F.col("start"))  # an interval is a zone's at most
     by_doc = by_doc.groupBy("doc").agg(F.collect_list(cut).alias("cuts"))
@@ -281,12 +285,15 @@ def spans(docs: DataFrame, found: DataFrame, units: Units, compare, later: bool,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
-            for doc, text, cuts in zip(x["doc"], x["text"], x["cuts"]):
+            for id, bare, text, cuts in zip(x["id"].tolist(), x["bare"].tolist(), x["text"], x["cuts"]):
                 data = _utf8(text)
                 _, starts, ends = units.values(data)
                 cuts = np.array([] if cuts is None else cuts, dtype=np.int64)
                 a, b = zones.merged(cuts >> 20, np.minimum((cuts >> 20) + (cuts & ((1 << 20) - 1)), len(starts)))
-                out.append((None if doc == NO_ID else doc, *finish(data, starts, ends, a, b)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+                out.append((id, *finish(data, starts, ends, a, b), bare))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in full.split(", ")])
 
-    return rows.join(by_doc, "doc", "left").mapInPandas(run, schema)
+    names = [c.split()[0] for c in schema.split(", ")]
+    full = schema + ", bare boolean"
+    done = rows.join(by_doc, "doc", "left").mapInPandas(run, full)
+    return done.select(F.when(~F.col("bare"), F.col(names[0])).alias(names[0]), *names[1:])

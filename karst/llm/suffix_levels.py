@@ -16,9 +16,8 @@ Windows under a shared head but in different zones are compared in the head's ta
 by sorting all windows of its zones and looking at neighbours.
 
 Defined results: null text is empty text; strings shorter than ``length`` are
-never repeated; a match may overlap itself; rows that share a doc_id are one document in
-that their removals are pooled, rows without one too; repeated rows remove
-each other; an empty table gives no rows; other columns of the input play no part.
+never repeated; a match may overlap itself; rows that share a doc_id are
+documents of their own, rows without one too; repeated rows remove each other; an empty table gives no rows; other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -129,7 +128,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
         return (*out, kept) if with_text else out
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return spans(docs, found, units, equal_windows(units), False, finish, schema, text, id, repeats.CROWD if crowd is None else crowd)
+    return spans(rows, found, units, equal_windows(units), False, finish, schema, repeats.CROWD if crowd is None else crowd)
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
