@@ -11,13 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm import exact, langid, packing, pseudonyms, scratch, simhash
+from karst.llm import exact, langid, packing, pseudonyms, row_keys, scratch, simhash
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among kept's."""
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with column _key: a key of each row, also where doc_ids are missing or shared."""
+    return row_keys.keyed(docs, F.col("doc_id").cast("long"), "_key")
+
+
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose _key is among kept's doc_ids, without it."""
+    return rows.join(kept.select(F.col("doc_id").alias("_kept")), F.col("_key") == F.col("_kept"), "left_semi").drop("_key")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +31,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id stays."""
-    return _only(docs, exact.exact_duplicates(docs).filter("kept"))
+    rows = _keyed(docs)
+    return _only(rows, exact.exact_duplicates(rows, id="_key").filter("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the one with the smallest doc_id stays."""
-    return _only(docs, simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    rows = _keyed(docs)
+    return _only(rows, simhash.near_duplicates(rows, id="_key").filter("doc_id = component_id"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
