@@ -4,21 +4,24 @@ A unit is a byte or a word; a window is ``length`` units of one document.
 Windows that occur more than once are found in these steps, all of them Spark
 jobs over slim rows:
 
-1. every document's anchors and their zones (see ``zones``);
-2. an entry for each distinct (head, zone): how many anchors have it, and the
-   first of them.  Each batch of documents is gathered in its task first, so a
-   zone with any number of copies moves as one row a batch;
-3. entries that can matter are those of several anchors, and those whose head
-   has several zones.  Anchors join the entries: a repeated zone is repeated in
-   all its windows;
-4. what is left are windows of different zones under one head.  One copy of each
-   such zone, its units included, goes to its head's task, where the operator
-   compares windows by its own method.  Zones under a head with more than ``crowd`` of them
-   are first cut into ``parts`` ranges of windows, each under a longer head: the
-   units that all windows of that range have in common.  Where even those are
-   crowded, windows are compared by hash, each on its own, so no head's zones
-   need fit one task;
-5. a document's intervals meet its text.
+1. ``partial``: every document's anchors (see ``zones``), each with the digest of its
+   *zone*, the stretch that its windows cover, up to ``reach`` units each.  A zone's
+   copies within a batch of documents move as one row;
+2. ``scan``: rows come together by head, in order of their zone.  Copies of a zone
+   are repeated as a whole; of zones that differ under one head, one copy each goes on;
+3. ``zone_units`` fetches their texts, and the operator compares them by its own
+   method, head by head (``by_head``);
+4. heads with more than ``crowd`` zones never meet in one task: their zones are
+   ``cut`` into ranges of windows, each under a longer head, all that the windows of the
+   range have in common, and scanned anew, until a range is a single window;
+5. a document's intervals meet its text (``spans``).
+
+Zones are told apart by 128-bit XXH3 digests of their own bytes, all else by the bytes.
+Heads only bring together what may be equal.
+
+Heads that a bounded sample of documents shows with many zones (``hot_heads``) are dealt
+out over ``SALTS`` tasks from the start and count as crowded.  The sample decides nothing
+but which task does the work.
 
 ``later`` tells which windows count: all that occur anywhere else (False), or
 those that also start earlier, in a smaller doc_id or before in the document (True).
@@ -34,7 +37,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import zones
@@ -45,36 +51,59 @@ from .scratch import as_text, stage
 CROWD = 512
 #: Zones that a task compares at a time.
 TOGETHER = 1000
-#: A spot is where a zone starts, times this, plus its windows, and the top bit of these if the document has the zone before.
-SPOT, AGAIN = 1 << 13, 1 << 12
-ENTRY = "head long, zone long, n long, doc long, spot long"
+#: Documents sampled for heads with many zones, the share of them that makes a head hot, and how many tasks share one.
+SAMPLE_DOCS, HOT_SHARE, MOST_HOT, SALTS = 4000, 0.01, 10_000, 64
+#: Into how many ranges a crowded head's windows are cut at a time.
+PARTS = 8
+#: Characters of documents whose anchors are gathered together.
+GATHER = 1 << 24
+#: A spot is where a zone starts, how far behind its anchor stands, and its windows, in 10 bits each of the last two.
+BITS = 10
+KEYS = ("head", "salt", "z1", "z2", "doc", "spot")
+PARTIAL = ", ".join(f"{k} long" for k in KEYS) + ", more array<long>"
+_ARROW = pa.schema([(k, pa.int64()) for k in KEYS] + [("more", pa.list_(pa.int64()))])
+WHOLE, BORDER, CROWDED = 0, 1, 2
+_FOUND = pa.schema([("kind", pa.int32()), ("head", pa.int64()), ("doc", pa.int64()), ("spot", pa.int64())])
+FOUND = "kind int, head long, doc long, spot long"
+STRETCH = "head long, doc long, first long, lead long, windows long, data binary"
 
 
 @dataclass(frozen=True)
 class Units:
-    """How texts are cut: values(data) gives (64-bit values, starts, ends) of the units in UTF-8 data.
+    """How texts are cut: form(text) gives the bytes, places(bytes) (64-bit values, starts, ends) of their units."""
 
-    parts: ranges of windows that zones under a crowded head are cut into.
-    """
-
-    values: Callable
+    form: Callable[[str], bytes]
+    places: Callable
     length: int
+    reach: int
     head: int
-    parts: int = 1
+
+    @property
+    def leads(self) -> int:
+        """How many windows can elect one anchor."""
+        return self.length - self.head + 1
+
+
+def utf8(text: str) -> bytes:
+    return text.encode("utf-8", "replace")
+
+
+def _words(text: str) -> bytes:
+    return b" ".join(utf8(text).split())  # bytes are split at \\x20 and \\x09-\\x0D
 
 
-def byte_values(data: bytes):
+def byte_places(data: bytes):
     raw = np.frombuffer(data, dtype=np.uint8)
     at = np.arange(len(raw) + 1)
     return zones.BYTE_VALUES[raw], at[:-1], at[1:]
 
 
-def by_bytes(length: int, head: int = 32, parts: int = 8) -> Units:
-    return Units(byte_values, length, min(head, length), parts)
+def by_bytes(length: int, reach: int | None = None, head: int = 32) -> Units:
+    return Units(utf8, byte_places, length, reach or length, min(head, length))
 
 
 def by_words(length: int, head: int = 4) -> Units:
-    return Units(zones.word_values, length, min(head, length))
+    return Units(_words, zones.word_values, length, length, min(head, length))
 
 
 def texts(docs: DataFrame, text: str, id: str) -> DataFrame:
@@ -84,102 +113,177 @@ def texts(docs: DataFrame, text: str, id: str) -> DataFrame:
     return keyed(rows, F.when(~F.col("bare"), F.col("id")), "doc").select("doc", "text", "id", "bare")
 
 
-def _utf8(text: str) -> bytes:
-    return text.encode("utf-8", "replace")
-
-
+# -- 1. anchors
 def _document_anchors(doc: int, text: str, units: Units) -> tuple:
-    a = zones.anchors(units.values(_utf8(text))[0], units.length, units.head)
-    n = len(a["head"])
-    order = np.lexsort((a["zone"], a["head"]))  # stable: equal zones stay in order of their start
-    same = (np.diff(a["head"][order]) == 0) & (np.diff(a["zone"][order]) == 0)
-    again = np.zeros(n, dtype=np.int64)
-    again[order[1:][same]] = 1
-    return np.full(n, doc, dtype=np.int64), a["head"], a["zone"], a["first"] * SPOT + again * AGAIN + a["windows"]
-
-
-def _batches_of_anchors(batches, units: Units):
-    """The anchors of each batch of documents, about a million units at a time."""
-    for x in batches:
-        parts, held = [], 0
-        for doc, text in zip(x["doc"], x["text"]):
-            parts.append(_document_anchors(doc, text, units))
-            held += len(text)
-            if held > 1 << 24:
-                yield [np.concatenate(c) for c in zip(*parts)]
-                parts, held = [], 0
-        if parts:
-            yield [np.concatenate(c) for c in zip(*parts)]
-
-
-def anchors(rows: DataFrame, units: Units) -> DataFrame:
-    """(doc, head, zone, spot) of every anchor."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for doc, head, zone, spot in _batches_of_anchors(batches, units):
-            yield pd.DataFrame({"doc": doc, "head": head, "zone": zone, "spot": spot})
-
-    return rows.mapInPandas(run, "doc long, head long, zone long, spot long")
-
-
-def entries(rows: DataFrame, units: Units) -> DataFrame:
-    """(head, zone, n, doc, spot): partial entries, one for each zone and batch of documents."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for doc, head, zone, spot in _batches_of_anchors(batches, units):
-            if not len(doc):
-                continue
-            order = np.lexsort((spot, doc, zone, head))
-            doc, head, zone, spot = doc[order], head[order], zone[order], spot[order]
-            starts = np.flatnonzero(np.concatenate(([True], (head[1:] != head[:-1]) | (zone[1:] != zone[:-1]))))
-            n = np.diff(np.append(starts, len(doc)))
-            yield pd.DataFrame({"head": head[starts], "zone": zone[starts], "n": n, "doc": doc[starts], "spot": spot[starts]})
-
-    return rows.mapInPandas(run, ENTRY)
-
-
-def summed(partial: DataFrame) -> DataFrame:
-    """One entry for each zone; heads stay together."""
-    return partial.repartition("head").groupBy("head", "zone").agg(F.sum("n").alias("n"), F.min("doc").alias("first"), F.min_by("spot", "doc").alias("spot")).withColumnRenamed("first", "doc")
-
+    data = units.form(text)
+    values, starts, ends = units.places(data)
+    a = zones.anchors(values, units.length, units.head)
+    first, windows, lead = a["first"], a["windows"], a["lead"]
+    if not len(first):
+        return a["head"], first, first, first, first
+    lo, hi = starts[first].tolist(), ends[np.minimum(first + windows + units.reach - 2, len(ends) - 1)].tolist()
+    digests = b"".join(map(xxhash.xxh3_128_digest, [data[i:j] for i, j in zip(lo, hi)], lead.tolist()))
+    z = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+    return a["head"], z[:, 0], z[:, 1], np.full(len(first), doc, dtype=np.int64), (first << 2 * BITS) + (lead << BITS) + windows
+
+
+def _gathered(parts: list[tuple], hot: np.ndarray) -> pa.RecordBatch:
+    """One row for each zone: its first place, and in ``more`` all others, a doc and a spot each in turn."""
+    head, z1, z2, doc, spot = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((spot, doc, z1))
+    head, z1, z2, doc, spot = head[order], z1[order], z2[order], doc[order], spot[order]
+    fresh = np.ones(len(head), dtype=bool)
+    fresh[1:] = (head[1:] != head[:-1]) | (z1[1:] != z1[:-1]) | (z2[1:] != z2[:-1])
+    at = np.flatnonzero(fresh)
+    copies = np.diff(np.append(at, len(head))) - 1
+    more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(2 * copies))), pa.int32()), pa.array(np.stack((doc, spot), axis=1)[~fresh].ravel(), pa.int64()), mask=pa.array(copies == 0))
+    salt = np.where(np.isin(head[at], hot), 1 + (z1[at] & (SALTS - 1)), 0)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (head[at], salt, z1[at], z2[at], doc[at], spot[at])] + [more], schema=_ARROW)
+
+
+def partial(rows: DataFrame, units: Units, hot: list[int] = ()) -> DataFrame:
+    """The zones of each batch of documents: KEYS and more."""
+    if units.leads >= 1 << BITS:
+        raise ValueError("windows are too long for their heads")
+    hot = np.array(sorted(hot), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            parts, held = [], 0
+            for doc, text in zip(x.column("doc").to_pylist(), x.column("text")):
+                text = text.as_py()
+                parts.append(_document_anchors(doc, text, units))
+                held += len(text)
+                if held > GATHER:
+                    yield _gathered(parts, hot)
+                    parts, held = [], 0
+            if parts:
+                yield _gathered(parts, hot)
+
+    return rows.select("doc", "text").mapInArrow(run, PARTIAL)
+
+
+def hot_heads(rows: DataFrame, units: Units) -> list[int]:
+    """Heads of many zones in a sample of about SAMPLE_DOCS documents."""
+    share = max(1, rows.count() // SAMPLE_DOCS)
+    some = partial(rows.filter(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0), units)
+    held = some.select("head", "z1").distinct().groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    return [r["head"] for r in held.filter(F.col("n") > HOT_SHARE * SAMPLE_DOCS).orderBy(F.desc("n"), "head").limit(MOST_HOT).collect()]
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of one head, or of one share of a hot one, together and in order."""
+    return rows.repartition("head", "salt").sortWithinPartitions(*KEYS)
+
+
+# -- 2. scan
+def _differ(columns: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(columns[0]), dtype=bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
-def shared(whole: DataFrame) -> DataFrame:
-    """Entries that can matter, with the number of zones under their head."""
-    zones_of = F.count(F.lit(1)).over(Window.partitionBy("head"))  # heads are together already: no shuffle
-    return whole.withColumn("zones", zones_of).filter("n > 1 or zones > 1")
 
+def _told(kind: int | np.ndarray, head: np.ndarray, doc: np.ndarray, spot: np.ndarray) -> pa.RecordBatch:
+    kind = np.full(len(doc), kind, dtype=np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(head, pa.int64()), pa.array(doc, pa.int64()), pa.array(spot, pa.int64())], schema=_FOUND)
+
+
+class _Scan:
+    """Follows rows in order; holds the zones of the last head, one row each, and never many more than a crowd of them."""
+
+    def __init__(self, later: bool, crowd: int):
+        self.later, self.crowd = later, crowd
+        self.held, self.many = [np.zeros(0, dtype=np.int64)] * len(KEYS), np.zeros(0, dtype=bool)
+        self.open = None  # a head found crowded, of which more may come
+
+    def settle(self, z: list[np.ndarray], many: np.ndarray, crowded_last: bool) -> Iterator[pa.RecordBatch]:
+        """What follows from zones of which all copies have been seen."""
+        if not len(many):
+            return
+        head, salt, _, _, doc, spot = z
+        if not self.later and many.any():
+            yield _told(WHOLE, head[many], doc[many], spot[many])
+        fresh = _differ([head, salt])
+        group = np.cumsum(fresh) - 1
+        size = np.bincount(group)[group]
+        crowded = (size > self.crowd) | (salt > 0)
+        if self.open == (head[0], salt[0]):
+            crowded |= group == 0
+        if crowded_last:
+            crowded |= group == group[-1]
+        on = crowded | (size > 1)
+        if on.any():
+            yield _told(np.where(crowded, CROWDED, BORDER)[on], head[on], doc[on], spot[on])
+
+    def rows(self, x: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        columns, lists = [np.concatenate((h, x.column(k).to_numpy())) for h, k in zip(self.held, KEYS)], x.column("more")
+        n = len(columns[0])
+        if not n:
+            return
+        others = lists.flatten().to_numpy().reshape(-1, 2)
+        if len(others):
+            yield _told(WHOLE, np.zeros(len(others), np.int64), others[:, 0], others[:, 1])
+        many = np.concatenate((self.many, pc.fill_null(pc.list_value_length(lists), 0).to_numpy() > 0))
+        fresh = _differ(columns[:4])
+        if not fresh.all():
+            yield _told(WHOLE, columns[0][~fresh], columns[4][~fresh], columns[5][~fresh])
+        at = np.flatnonzero(fresh)
+        many = np.logical_or.reduceat(many, at) | (np.diff(np.append(at, n)) > 1)
+        z = [c[at] for c in columns]
+        last = int(np.flatnonzero(_differ(z[:2]))[-1])
+        key = (z[0][-1], z[1][-1])
+        crowded = self.open == key or len(at) - last > self.crowd
+        done = len(at) - 1 if crowded else last
+        yield from self.settle([c[:done] for c in z], many[:done], crowded and done > last)
+        self.held, self.many = [c[done:] for c in z], many[done:]
+        self.open = key if crowded else None
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield from self.settle(self.held, self.many, False)
+
+
+def scan(rows: DataFrame, later: bool, crowd: int = CROWD) -> DataFrame:
+    """(kind, head, doc, spot) from partial rows: copies of zones, and one of each zone under heads with several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = _Scan(later, crowd)
+        for x in batches:
+            yield from state.rows(x)
+        yield from state.end()
 
-def repeated_zones(found: DataFrame, rows: DataFrame, units: Units, later: bool) -> DataFrame:
-    """(doc, spot) of the anchors whose windows are all repeated."""
-    many = found.filter("n > 1").select(F.col("head").alias("h"), F.col("zone").alias("z"), F.col("doc").alias("first"))
-    at = anchors(rows, units).join(many, (F.col("head") == F.col("h")) & (F.col("zone") == F.col("z")))
-    if later:
-        at = at.filter((F.col("doc") != F.col("first")) | (F.col("spot").bitwiseAND(AGAIN) != 0))
-    return at.select("doc", "spot")
+    return dealt(rows.select(*KEYS, "more")).mapInArrow(run, FOUND)
 
 
+# -- 3. stretches and their comparison
 def zone_units(found: DataFrame, rows: DataFrame, units: Units) -> DataFrame:
-    """(head, doc, first, n, zones, data): one copy of each zone under heads with several; data is its UTF-8 text."""
-    want = found.filter("zones > 1").groupBy("doc").agg(F.collect_list(F.struct("head", "spot", "n", "zones")).alias("want"))
+    """STRETCH of each zone of (head, doc, spot); data are its units' bytes."""
+    want = found.groupBy("doc").agg(F.collect_list(F.struct("head", "spot")).alias("want"))
+    mask = (1 << BITS) - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out = []
-            for doc, text, want in zip(x["doc"], x["text"], x["want"]):
-                data = _utf8(text)
-                _, starts, ends = units.values(data)
+            out, held = [], 0
+            for doc, text, want in zip(x["doc"].tolist(), x["text"], x["want"]):
+                data = units.form(text)
+                _, starts, ends = units.places(data)
                 for w in want:
-                    first, windows = w["spot"] // SPOT, w["spot"] % AGAIN
-                    last = first + windows + units.length - 2
-                    if last < len(ends):
-                        out.append((w["head"], doc, first, w["n"], w["zones"], data[starts[first] : ends[last]]))
-            yield pd.DataFrame(out, columns=["head", "doc", "first", "n", "zones", "data"])
+                    first, lead, windows = w["spot"] >> 2 * BITS, w["spot"] >> BITS & mask, w["spot"] & mask
+                    part = data[starts[first] : ends[min(first + windows + units.reach - 2, len(ends) - 1)]]
+                    out.append((w["head"], doc, first, lead, windows, part))
+                    held += len(part)
+                if held > GATHER:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=names)
 
-    return rows.join(want, "doc").mapInPandas(run, "head long, doc long, first long, n long, zones long, data binary")
+    names = [c.split()[0] for c in STRETCH.split(", ")]
+    return rows.join(want, "doc").select("doc", "text", "want").mapInPandas(run, STRETCH)
 
 
-def by_head(rows: DataFrame, compare: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """compare() of the rows of some whole heads at a time, not many more than ``TOGETHER`` rows and a crowd."""
+def by_head(rows: DataFrame, compare: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """(doc, start, end): compare() of some whole heads at a time, not many more than ``TOGETHER`` rows and a crowd."""
 
     def some(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
         heads = x["head"].to_numpy()
@@ -203,94 +307,101 @@ def by_head(rows: DataFrame, compare: Callable[[pd.DataFrame], pd.DataFrame], sc
         if rest is not None:
             yield from some(rest)
 
-    return rows.repartition("head").sortWithinPartitions("head").mapInPandas(run, schema)
+    return rows.repartition("head").sortWithinPartitions("head").mapInPandas(run, "doc long, start long, end long")
 
 
-def longer_heads(rows: DataFrame, units: Units) -> DataFrame:
-    """rows of ``zone_units`` cut into ranges of windows, under the head that each range has in common; zones counts anew.
+# -- 4. crowded heads
+def cut(rows: DataFrame, units: Units, width: int) -> DataFrame:
+    """The stretches in ranges of up to ``width`` windows, with digests, under the head that a whole range has in common.
 
     A window's range follows from how far its anchor stands behind its start, so equal windows get equal heads.
-    Ranges whose head is alone are left out, as none of their windows occurs elsewhere.
     """
-    width = -(-(units.length - units.head + 1) // units.parts)
+    names = [c.split()[0] for c in STRETCH.split(", ")] + ["z1", "z2"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
-            for head, doc, first, n, data in zip(x["head"].tolist(), x["doc"].tolist(), x["first"].tolist(), x["n"].tolist(), x["data"]):
-                values, starts, ends = units.values(data)
-                sums, spots = zones.prefix(values), np.arange(len(values) - units.head + 1)
-                lead = int(np.argmax(zones.gram(sums, spots, spots + units.head).view(np.int64) == head))  # the leftmost: else another would be elected
-                windows = len(values) - units.length + 1
-                for k in range(max(lead - windows + 1, 0) // width, lead // width + 1):
+            for doc, first, lead, windows, data in zip(*(x[c].tolist() for c in ("doc", "first", "lead", "windows", "data"))):
+                _, starts, ends = units.places(data)
+                for k in range((lead - windows + 1) // width, lead // width + 1):
                     i, j = max(lead - (k + 1) * width + 1, 0), min(lead - k * width, windows - 1)
-                    a, b = np.array([lead - k * width]), np.array([lead - min((k + 1) * width - 1, units.length - units.head) + units.length])
-                    own = zones.mix(zones.gram(sums, a, b) + np.uint64(k)).view(np.int64)[0]
-                    out.append((own, doc, first + i, n, data[starts[i] : ends[j + units.length - 1]]))
-            yield pd.DataFrame(out, columns=["head", "doc", "first", "n", "data"])
-
-    cut = stage(rows.mapInPandas(run, "head long, doc long, first long, n long, data binary"), "ranges")
-    held = cut.groupBy("head").agg(F.count(F.lit(1)).alias("zones")).filter("zones > 1")
-    return cut.join(held, "head").select("head", "doc", "first", "n", "zones", "data")
-
-
-def crowded_windows(rows: DataFrame, units: Units, later: bool) -> DataFrame:
-    """(doc, start, end) of repeated windows under crowded heads: windows are compared by head and hash."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for at in range(0, len(x), 2000):
-                part = x.iloc[at : at + 2000]
-                hashes = [zones.window_hashes(units.values(d)[0], units.length) for d in part["data"]]
-                sizes = [len(h) for h in hashes]
-                if not sum(sizes):
-                    continue
-                start = np.concatenate([f + np.arange(s) for f, s in zip(part["first"], sizes)])
-                yield pd.DataFrame({"head": np.repeat(part["head"].to_numpy(), sizes), "hash": np.concatenate(hashes), "doc": np.repeat(part["doc"].to_numpy(), sizes), "start": start, "n": np.repeat(part["n"].to_numpy(), sizes)})
-
-    windows = rows.mapInPandas(run, "head long, hash long, doc long, start long, n long")
-    seen = windows.groupBy("head", "hash").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "start")).alias("least")).filter("times > 1")
-    hit = windows.join(seen, ["head", "hash"])
-    hit = hit.filter(F.struct("doc", "start") != F.col("least")) if later else hit.filter("n = 1")
-    return hit.select("doc", "start", (F.col("start") + units.length).alias("end"))
-
-
+                    a, b = lead - k * width, lead - min((k + 1) * width, units.leads) + 1 + units.length
+                    own = xxhash.xxh3_64_intdigest(data[starts[a] : ends[b - 1]], k << BITS | width) - (1 << 63)
+                    part = data[starts[i] : ends[min(j + units.reach, len(ends)) - 1]]
+                    z = np.frombuffer(xxhash.xxh3_128_digest(part, lead - i), dtype="<i8").tolist()
+                    out.append((own, doc, first + i, lead - i, j - i + 1, part, *z))
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.mapInPandas(run, STRETCH + ", z1 long, z2 long")
+
+
+def _spot() -> F.Column:
+    return F.shiftleft("first", 2 * BITS) + F.shiftleft("lead", BITS) + F.col("windows")
+
+
+def _interval(found: DataFrame, units: Units, windows: F.Column | None = None, reach: int | None = None) -> DataFrame:
+    start = F.shiftright("spot", 2 * BITS)
+    windows = F.col("spot").bitwiseAND((1 << BITS) - 1) if windows is None else windows
+    return found.select("doc", start.alias("start"), (start + windows + ((reach or units.reach) - 1)).alias("end"))
+
+
+def crowded_intervals(rows: DataFrame, units: Units, compare: Callable, later: bool, crowd: int) -> list[DataFrame]:
+    """Intervals among stretches under crowded heads."""
+    out, width = [], units.leads
+    while True:
+        width = -(-width // PARTS)
+        ranges = stage(cut(rows, units, width).withColumn("spot", _spot()), "ranges")
+        slim = ranges.select("head", F.lit(0).cast("long").alias("salt"), "z1", "z2", "doc", "spot", F.lit(None).cast("array<long>").alias("more"))
+        found = stage(scan(slim, later, crowd), "ranges-found")
+        out.append(_interval(found.filter(F.col("kind") == WHOLE), units))
+        on = ranges.join(found.filter(F.col("kind") == BORDER).select("doc", "spot", "head"), ["doc", "spot", "head"], "left_semi")
+        out.append(by_head(on, compare))
+        crowded = found.filter(F.col("kind") == CROWDED)
+        if width == 1:
+            # one window each, equal in its ``length`` units, of which the digest is the head; of unlike reach
+            if units.reach > units.length:
+                out.append(_interval(crowded, units, F.lit(1), units.length))
+            return out
+        if crowded.isEmpty():
+            return out
+        rows = ranges.join(crowded.select("doc", "spot", "head"), ["doc", "spot", "head"], "left_semi")
+
+
+# -- 5. intervals and texts
 def intervals(rows: DataFrame, found: DataFrame, units: Units, compare: Callable[[pd.DataFrame], pd.DataFrame], later: bool, crowd: int = CROWD) -> DataFrame:
-    """(doc, start, end) in units: intervals, with overlaps, that cover just the repeated windows."""
-    whole = repeated_zones(found, rows, units, later)
-    start = F.shiftright("spot", SPOT.bit_length() - 1)
-    whole = whole.select("doc", start.alias("start"), (start + F.col("spot").bitwiseAND(AGAIN - 1) + (units.length - 1)).alias("end"))
-    border = found.filter("zones > 1")
-    out = whole
-    if not border.filter(F.col("zones") <= crowd).isEmpty():
-        few = zone_units(border.filter(F.col("zones") <= crowd), rows, units)
-        out = out.unionByName(by_head(few, compare, "doc long, start long, end long"))
-    many = border.filter(F.col("zones") > crowd)
-    if not many.isEmpty():
-        crowded = zone_units(many, rows, units)
-        if units.parts > 1:
-            cut = stage(longer_heads(crowded, units), "cut")
-            out = out.unionByName(by_head(cut.filter(F.col("zones") <= crowd), compare, "doc long, start long, end long"))
-            crowded = cut.filter(F.col("zones") > crowd)
-        out = out.unionByName(crowded_windows(crowded, units, later))
+    """(doc, start, end) in units: stretches, with overlaps, that occur as a whole elsewhere (or earlier) too.
+
+    Their windows are just the repeated windows.
+    """
+    out = _interval(found.filter(F.col("kind") == WHOLE), units)
+    border = found.filter(F.col("kind") == BORDER)
+    if not border.isEmpty():
+        out = out.unionByName(by_head(zone_units(border, rows, units), compare))
+    crowded = found.filter(F.col("kind") == CROWDED)
+    if not crowded.isEmpty():
+        for more in crowded_intervals(zone_units(crowded, rows, units), units, compare, later, crowd):
+            out = out.unionByName(more)
     return out
 
 
 def spans(rows: DataFrame, found: DataFrame, units: Units, compare, later: bool, finish: Callable, schema: str, crowd: int = CROWD) -> DataFrame:
-    """doc_id and finish(data, starts, ends of the units, spans) of every row of ``texts``; spans: the disjoint repeated stretches in units."""
-    by_doc = intervals(rows, found, units, compare, later, crowd)
-    cut = F.shiftleft("start", 20) + (F.col("end") - F.col("start"))  # an interval is a zone's at most
-    by_doc = by_doc.groupBy("doc").agg(F.collect_list(cut).alias("cuts"))
+    """doc_id and finish(data, starts, ends of the units, starts, ends of the intervals) of every row of ``texts``."""
+    return finished(rows, intervals(rows, found, units, compare, later, crowd), units, finish, schema)
+
+
+def finished(rows: DataFrame, by_doc: DataFrame, units: Units, finish: Callable, schema: str) -> DataFrame:
+    packed = F.shiftleft("start", 20) + (F.col("end") - F.col("start"))  # an interval is a zone's at most
+    by_doc = by_doc.groupBy("doc").agg(F.collect_set(packed).alias("cuts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
             for id, bare, text, cuts in zip(x["id"].tolist(), x["bare"].tolist(), x["text"], x["cuts"]):
-                data = _utf8(text)
-                _, starts, ends = units.values(data)
+                data = units.form(text)
+                _, starts, ends = units.places(data)
                 cuts = np.array([] if cuts is None else cuts, dtype=np.int64)
-                a, b = zones.merged(cuts >> 20, np.minimum((cuts >> 20) + (cuts & ((1 << 20) - 1)), len(starts)))
-                out.append((id, *finish(data, starts, ends, a, b), bare))
+                a = cuts >> 20
+                out.append((id, *finish(data, starts, ends, a, np.minimum(a + (cuts & ((1 << 20) - 1)), len(starts))), bare))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in full.split(", ")])
 
     names = [c.split()[0] for c in schema.split(", ")]

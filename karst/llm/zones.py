@@ -1,18 +1,15 @@
-"""Content-chosen anchors and their zones: the shared groundwork of the two repeat finders.
+"""Content-chosen anchors: the shared groundwork of the two repeat finders.
 
 A repeat of at least ``length`` symbols (bytes or words) is found from far fewer
 points than there are positions.  Every window of ``length`` symbols elects the
 smallest ``head``-gram inside it, by a hash (leftmost among equals), so equal
 windows elect the same gram at the same offset wherever they stand.  An *anchor*
-is a gram that some window elects; its *zone* is the stretch covered by all the
-windows that elect it.  Hence
+is a gram that some window elects.  Two equal windows always belong to anchors
+with equal head hashes.
 
-* two equal windows always belong to anchors with equal head hashes, and
-* anchors with equal zones have the same windows, all of them repeated.
-
-Only anchors that share a head but differ in their zone need their windows
-compared one by one.  All of it is numpy over one document, in blocks of at
-most ``BLOCK`` symbols, so memory stays bounded for texts of any length.
+These hashes only choose and route: symbols that collide choose the same anchors,
+which costs a comparison and decides nothing.  All of it is numpy over one document,
+in blocks of at most ``BLOCK`` symbols, so memory stays bounded for texts of any length.
 """
 
 from __future__ import annotations
@@ -102,8 +99,8 @@ def anchors(values: np.ndarray, length: int, head: int) -> dict[str, np.ndarray]
     """The anchors of one sequence of symbols.
 
     first, windows: the windows that elect the anchor start at first, first+1, ...;
-    lead: how far the anchor stands behind ``first``; head, zone: 64-bit hashes as
-    signed integers.  Empty arrays where the sequence is shorter than ``length``.
+    lead: how far the anchor stands behind ``first``; head: its 64-bit hash as a
+    signed integer.  Empty arrays where the sequence is shorter than ``length``.
     """
     parts = []
     n = len(values)
@@ -117,22 +114,14 @@ def anchors(values: np.ndarray, length: int, head: int) -> dict[str, np.ndarray]
         first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
         stop = np.append(first[1:], len(low))
         spot = (low[first] & _POS_BITS).astype(np.int64)
-        zone = gram(sums, first, stop - 1 + length) ^ mix((spot - first).astype(np.uint64))
-        parts.append((first + at, stop - first, spot - first, grams[spot].view(np.int64), zone.view(np.int64)))
+        parts.append((first + at, stop - first, spot - first, grams[spot].view(np.int64)))
         at += BLOCK
-    names = ("first", "windows", "lead", "head", "zone")
+    names = ("first", "windows", "lead", "head")
     if not parts:
         return {k: np.zeros(0, dtype=np.int64) for k in names}
     return {k: np.concatenate([p[i] for p in parts]) for i, k in enumerate(names)}
 
 
-def window_hashes(values: np.ndarray, length: int) -> np.ndarray:
-    """The hash of every window of a stretch shorter than a block."""
-    sums = prefix(values)
-    starts = np.arange(len(values) - length + 1)
-    return gram(sums, starts, starts + length).view(np.int64)
-
-
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of half-open intervals, as disjoint, non-touching ones in order."""
     if not len(starts):

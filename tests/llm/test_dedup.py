@@ -6,7 +6,8 @@ import re
 import duckdb
 import pytest
 
-from karst.llm import automata, components, exact, simhash, suffix_levels
+from karst.llm import automata, components, exact, repeats, simhash, suffix_levels
+from pyspark.sql import functions as F
 
 DIR = "/root/testdata/sf0.001"
 
@@ -148,19 +149,24 @@ def pooled(rows):
     return sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
 
 
-def brute_bytes(rows, length):
+def covered(datas, length):
     count = collections.Counter()
-    datas = [(d, (t or "").encode()) for d, t in rows]
-    for _, b in datas:
+    for b in datas:
         count.update(b[i : i + length] for i in range(len(b) - length + 1))
-    out = []
-    for d, b in datas:
+    for b in datas:
         gone = bytearray(len(b))
         for i in range(len(b) - length + 1):
             if count[b[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
+        yield gone
+
+
+def brute_bytes(rows, length, passage=256):
+    datas = [(t or "").encode() for _, t in rows]
+    out = []
+    for (d, _), b, gone, again in zip(rows, datas, covered(datas, length), covered(datas, min(passage, length))):
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        out.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest(), sum(again)))
     return sorted(out, key=str)
 
 
@@ -186,11 +192,49 @@ def tangled():
     return rows
 
 
-@pytest.mark.parametrize("crowd", [2, 512])
-@pytest.mark.parametrize("batches", [1, 5])
-def test_bytes_against_brute_force(spark, tangled, crowd, batches):
+@pytest.mark.parametrize("crowd,batches,passage", [(2, 1, 40), (2, 5, 24), (512, 1, 24), (512, 5, 40)])
+def test_bytes_against_brute_force(spark, tangled, crowd, batches, passage):
+    df = spark.createDataFrame(tangled, "doc_id long, text string").repartition(4)
+    assert sorted(tuples(suffix_levels.remove_repeats(df, 40, batches, crowd=crowd, passage=passage)), key=str) == brute_bytes(tangled, 40, passage)
+
+
+def test_bytes_and_words_of_documents(spark):
+    """All of sf0.01, with the query's own parameters."""
+    rows = tuples(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    assert sorted(tuples(suffix_levels.op6_suffix_dedup(spark, "/root/testdata/sf0.01")), key=str) == brute_bytes(rows, 400)
+    assert sorted(tuples(automata.op9_substring_dedup(spark, "/root/testdata/sf0.01")), key=str) == brute_words(rows, 20)
+
+
+def test_the_result_rests_on_the_scans(spark, tangled, monkeypatch):
+    """Without what scans against older levels hand on, matches between batches are lost."""
+    df = spark.createDataFrame(tangled, "doc_id long, text string").repartition(4)
+    merged = suffix_levels.SuffixLevels.merged
+    monkeypatch.setattr(suffix_levels.SuffixLevels, "merged", staticmethod(lambda arrays: merged(arrays).withColumn("met", F.lit(len(arrays) < 2) & F.col("met"))))
+    assert sorted(tuples(suffix_levels.remove_repeats(df, 40, 5)), key=str) != brute_bytes(tangled, 40)
+
+
+def test_hot_heads_are_dealt_out(spark, tangled, monkeypatch):
+    """Heads that the sample finds hot: the same rows."""
+    monkeypatch.setattr(repeats, "HOT_SHARE", 1 / 4000)
     df = spark.createDataFrame(tangled, "doc_id long, text string").repartition(4)
-    assert sorted(tuples(suffix_levels.remove_repeats(df, 40, batches, crowd=crowd)), key=str) == brute_bytes(tangled, 40)
+    assert repeats.hot_heads(repeats.texts(df, "text", "doc_id"), repeats.by_words(6))
+    assert sorted(tuples(suffix_levels.remove_repeats(df, 40)), key=str) == brute_bytes(tangled, 40)
+    assert sorted(tuples(automata.remove_repeats(df, 6)), key=str) == brute_words(tangled, 6)
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """A Thue-Morse word of 1024 letters and its complement agree under any polynomial hash modulo 2 ** 64."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    rows = [(i, " ".join(f"w{k}" for k in range(19)) + " " + x) for i, x in enumerate((word, word.translate(str.maketrans("ab", "ba"))))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["n_removed"] for r in automata.remove_repeats(df).collect()] == [0, 0]
+    assert sorted(tuples(suffix_levels.remove_repeats(df, 1024, passage=1024)), key=str) == brute_bytes(rows, 1024, 1024)
+
+
+@pytest.mark.parametrize("shard_words", [200, 10_000])
+def test_broadcast_shards_against_brute_force(spark, tangled, shard_words):
+    df = spark.createDataFrame(tangled, "doc_id long, text string").repartition(4)
+    assert sorted(tuples(automata.remove_repeats_of_shards(df, 6, shard_words=shard_words)), key=str) == brute_words(tangled, 6)
 
 
 @pytest.mark.parametrize("crowd", [2, 512])
@@ -216,10 +260,8 @@ def test_no_rows(empty_df):
 
 
 def test_levels_merge_geometrically(spark, tangled):
-    from karst.llm.repeats import by_bytes, texts
-
-    df = texts(spark.createDataFrame(tangled, "doc_id long, text string"), "text", "doc_id")
-    family = suffix_levels.SuffixLevels(by_bytes(40))
+    df = repeats.texts(spark.createDataFrame(tangled, "doc_id long, text string"), "text", "doc_id")
+    family = suffix_levels.SuffixLevels(repeats.by_bytes(40))
     shapes = []
     for k in range(5):
         family.add(df.filter(f"doc % 5 = {k}"))
@@ -227,6 +269,14 @@ def test_levels_merge_geometrically(spark, tangled):
     assert shapes == [[True], [False, True], [True, True], [False, False, True], [True, False, True]]
 
 
+def test_common_strings_of_bytes(spark):
+    import pandas as pd
+
+    x = pd.DataFrame([(1, 10, 0, 3, b"abcHEADdefg"), (1, 20, 5, 3, b"xbcHEADdexx"), (1, 30, 7, 0, b"HEADdef"), (2, 40, 0, 3, b"abcHEADdefg")], columns=["head", "doc", "first", "lead", "data"])
+    found = suffix_levels.common_strings(repeats.by_bytes(8, head=4))(x)
+    assert sorted(map(tuple, found.to_numpy().tolist())) == [(10, 1, 9), (20, 6, 14)]
+
+
 def test_kept_text(spark):
     df = spark.createDataFrame([(1, "a b c d"), (2, "x a b c y")], "doc_id long, text string")
     assert {r["doc_id"]: r["kept"] for r in automata.remove_repeats(df, 3, with_text=True).collect()} == {1: "a b c d", 2: "x y"}
@@ -236,9 +286,9 @@ def test_kept_text(spark):
 
 def test_automaton_statistics():
     a = automata.Automaton()
-    a.add([1, 2, 3, 1, 2])
-    a.add([9, 1])
+    assert a.add([1, 2, 3, 1, 2]) == 1 and a.add([9, 1]) == 7
     assert a.statistics([1, 2, 3, 9, 1, 7, 2, 9]).tolist() == [1, 2, 3, 1, 2, 0, 1, 1]
+    assert a.earlier([1, 2, 3, 1, 2], 2).tolist() == [2, 3, 4, 5] and a.earlier([1, 2, 3, 1, 2], 2, 1).tolist() == [5]
 
 
 def test_broadcast_matches(spark):
