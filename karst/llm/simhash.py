@@ -16,8 +16,11 @@ fingerprints within 2b bits are those that share a neighbour within b bits, so
 all neighbours within max_bits / 2 bits are written out and each one's owners
 tied to the smallest.
 
+A fingerprint that more than a thousandth of all rows have is one of at most a thousand: the
+components of these are broadcast to the rows, those of all others shuffled to them.
+
 Defined results: null or wordless texts have fingerprint 0, linked like any
-other; texts shorter than a shingle hash whole; repeated rows get equal rows;
+other; texts may be of any length; texts shorter than a shingle hash whole; repeated rows get equal rows;
 rows without a doc_id get a fingerprint and the component of that; an empty
 table gives no rows; other columns of the input play no part.
 """
@@ -41,6 +44,8 @@ SEED = 42
 MAX_BITS = 4
 #: Members of one variant that are compared pair by pair.
 CROWD = 4096
+#: Fingerprints that may each have more than their share of all rows.
+MOST_OFTEN = 1000
 _BLOCK = 1 << 16
 
 
@@ -160,8 +165,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", max
     if max_bits < 2 or max_bits % 2:
         raise ValueError("max_bits must be even and at least 2")
     rows = stage(fingerprints(docs, text, id), "prints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = variants(nodes.select("fp"), max_bits).repartition("key").sortWithinPartitions("key")
+    nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = variants(nodes.select("fp").repartition(tasks), max_bits).repartition("key").sortWithinPartitions("key")
     found = stage(verified_links(found, max_bits, crowd), "links")
     links = found.filter("not crowded").select("a", "b")
     crowd_members = found.filter("crowded").select(F.col("a").alias("fp")).distinct()
@@ -171,8 +177,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", max
     named = linked.join(nodes.withColumnRenamed("fp", "node"), "node", "left")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    named = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = stage(nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "named")
+    often = F.col("n") > rows.count() / MOST_OFTEN
+    hot = F.broadcast(named.filter(often).select("fp", "component_id"))
+    told = rows.join(hot, "fp").unionByName(rows.join(hot, "fp", "left_anti").join(named.filter(~often).select("fp", "component_id"), "fp"))
+    return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:
