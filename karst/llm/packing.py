@@ -8,14 +8,18 @@ order; each goes to the open sequence that scores best among those with room in
 * ``"norm"``: the smallest weighted norm of what would be left, or
 * ``"dot"``: the largest weighted dot product of the piece and what is left.
 
-The corpus is dealt into shards of about ``shard_pieces`` pieces by a hash of
-(doc_id, piece), so no key decides a shard's size; each shard is packed by
+The query's capacities are ``MAX_TOKENS`` tokens, ``MAX_DOCS`` documents and the attention
+cost of one full piece; all three are weighed (``WEIGHTS``), tokens most.
+
+The corpus is dealt into shards of about ``shard_pieces`` pieces by a hash of each
+row's own number, so no key decides a shard's size; each shard is packed by
 one task, and leaves at most about one sequence short of full.  Pieces that fill a sequence alone
 are placed without any packing.
 
 Defined results: null text is empty text and still one piece, its end id; only
-documents longer than ``max_tokens`` are cut, losslessly, the last piece short;
-repeated rows are packed once each; an empty table gives no rows; columns of the
+documents longer than ``max_tokens`` are cut, losslessly, the last piece short; texts may be of
+any length; of pieces of equal length those of smaller doc_ids are placed first; repeated rows
+are packed once each; an empty table gives no rows; columns of the
 input other than id and text play no part.
 """
 
@@ -32,6 +36,9 @@ from .scratch import as_text, documents, stage
 from .tokens import END_ID, chunks
 
 MAX_TOKENS = 2048
+#: Documents, and sum of squared lengths, that a sequence may hold; and what tokens, documents and attention weigh.
+MAX_DOCS, MAX_ATTENTION = 128, MAX_TOKENS**2
+WEIGHTS = (1.0, 0.05, 0.05)
 #: Pieces packed together by one task.
 SHARD_PIECES = 16_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -109,7 +116,7 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, max_docs: int | None =
     """
     capacity = np.array([max_tokens, max_docs or max_tokens, max_attention or max_tokens**2], dtype=np.float64)
     weigh = np.array(weights, dtype=np.float64)
-    pieces = stage(pieces, "pieces")
+    pieces = stage(pieces.withColumn("_place", F.monotonically_increasing_id()), "pieces")
     whole, rest = pieces.filter(F.col("length") >= max_tokens), pieces.filter(F.col("length") < max_tokens)
     shards = max(1, -(-rest.count() // shard_pieces))
 
@@ -123,14 +130,14 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, max_docs: int | None =
         bins = vector_best_fit(np.stack((n, np.ones(len(n)), n * n), axis=1), capacity, weigh, rule)
         x["sequence_id"] = bins * shards + int(key[0])
         x["offset"] = x.groupby("sequence_id")["length"].cumsum() - x["length"]
-        return x.drop(columns="shard")
+        return x.drop(columns=["shard", "_place"])
 
-    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "piece"), F.lit(shards)).cast("int")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields] + ["sequence_id long", "offset long"]
+    shard = F.pmod(F.xxhash64("_place"), F.lit(shards)).cast("int")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name != "_place"] + ["sequence_id long", "offset long"]
     packed = rest.withColumn("shard", shard).groupBy("shard").applyInPandas(run, ", ".join(kinds))
     if max_attention is not None and max_attention < max_tokens**2:
         whole = whole.withColumn("length", F.when(F.lit(False), F.col("length")).otherwise(F.raise_error(F.lit("a piece exceeds a capacity")).cast("long")))
-    alone = whole.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    alone = whole.drop("_place").withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(alone)
 
 
@@ -138,4 +145,4 @@ def op3_best_fit_packing(spark, sf_dir: str, docs: DataFrame | None = None) -> D
     import public_tokenizers
 
     pieces = token_pieces(documents(spark, sf_dir) if docs is None else docs, public_tokenizers.path("word_bpe_49k.json"))
-    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), MAX_TOKENS, MAX_DOCS, MAX_ATTENTION, WEIGHTS)

@@ -13,11 +13,14 @@ length.  Written to files is, for each matrix row:
   (zero in the padding);
 * ``doc_ids`` and ``pieces``: what each segment is a piece of.
 
-The corpus is dealt into shards of about ``SHARD_BYTES`` of text by a hash of (doc_id,
-piece), so no key decides a shard's size. The ids move once: the task that gets a
+The corpus is dealt into shards of about ``SHARD_BYTES`` of text by a hash of doc_id, piece
+and the row's place in its partition, so no key decides a shard's size. The ids move once: the task that gets a
 shard packs it and lays out its rows.
 
-Defined results: null text is empty text, whose piece is its end id alone; repeated
+``PAD_ID`` is the end id too: n_tokens, and the last of cu_seqlens, tell where padding starts.
+
+Defined results: null text is empty text, whose piece is its end id alone; texts may be of any
+length; of pieces of equal length those of smaller doc_ids are placed first; repeated
 rows are packed once each; a null doc_id stays null; an empty table writes an
 empty table; columns of the input other than id and text play no part.
 """
@@ -128,7 +131,7 @@ def write_matrices(docs: DataFrame, tokenizer_path: str, path: str, row_tokens:
     total = docs.agg(F.sum(F.octet_length(as_text(text)))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     pieces = token_pieces(docs, tokenizer_path, row_tokens, text, id, "<u2")
-    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "piece"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "piece", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
     rows = pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(lambda key, x: laid_out(x, int(key[0]), row_tokens), MATRICES)
     rows.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path)

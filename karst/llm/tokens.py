@@ -5,7 +5,8 @@ spaces and each distinct chunk is encoded once per Python worker; a document's
 ids are the joined, already packed ids of its chunks.  Chunks of plain lower-case
 ASCII letters, with at most ASCII punctuation behind them, skip the tokenizer's
 normaliser: there each letter run and each punctuation run is a word of its own.
-The cache of chunks is bounded.
+Strings of special tokens in a text count as these tokens, as the tokenizer has it; the
+text is cut at them before.  The cache of chunks is bounded.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import re
 import numpy as np
 
 #: Chunks kept by a worker; beyond it the cache starts anew.
-CACHE = 1_500_000
+CACHE = 800_000
 #: The id written after each document.
 END_ID = 0
 _PLAIN = re.compile(rb"([a-z]*)([!-&(-/:-@\[-`{-~]*)")
@@ -28,7 +29,9 @@ class Chunks(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # chunks hold none but by lower-casing
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.id_type = np.dtype(id_type)
         if self.tokenizer.get_vocab_size() - 1 > np.iinfo(self.id_type).max:
             raise ValueError(f"ids do not fit {id_type}")
@@ -59,6 +62,11 @@ class Chunks(dict):
         if len(self) > CACHE:
             self.clear()
             self.words = {b"": b""}
+        if self.cuts and any(t in text for t in self.special):
+            return b"".join(self.pack([self.special[t]]) if t in self.special else self._plain(t) for t in self.cuts.split(text))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").lower().split(b" ")))
 
 
