@@ -29,22 +29,37 @@ def brute_exact(rows):
     return sorted(((d, top(g := groups[ascii_lower(t)]), len(g), d == top(g), hashlib.sha256(ascii_lower(t).encode()).hexdigest()) for d, t in rows), key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"key_bits": 2, "capacity": 2, "max_depth": 2}, {"capacity": 1, "max_depth": 8}])
+@pytest.mark.parametrize("options", [{}, {"key_bits": 2, "capacity": 2}, {"capacity": 1}])
 def test_exact_messy(messy, messy_df, options):
     """Few key bits make unlike texts collide, so chains are compared by bytes; small buckets split."""
     found = exact.exact_duplicates(messy_df, **options).drop("bucket")
     assert sorted(tuples(found), key=str) == brute_exact(messy)
 
 
+def test_probes_go_through_the_directory(spark, messy_df, monkeypatch):
+    """A slot that names another bucket to the rows than to the index loses its rows."""
+    write = exact.write_index
+
+    def torn(*a):
+        index, slots = write(*a)
+        return index, slots.withColumn("bucket", F.col("bucket") + (F.col("slot") % 2))
+
+    whole = exact.exact_duplicates(messy_df, capacity=2).count()
+    monkeypatch.setattr(exact, "write_index", torn)
+    assert exact.exact_duplicates(messy_df, capacity=2).count() < whole == messy_df.count()
+
+
 def test_exact_empty(empty_df):
     assert exact.exact_duplicates(empty_df).collect() == []
 
 
 def test_directory_splits_only_what_is_overfull(spark):
     entries = spark.createDataFrame([(h << 56,) for h in range(8)], "h long")
-    found = {r["slot"]: (r["depth"], r["bucket"]) for r in exact.directory(entries, capacity=4, max_depth=8).collect()}
+    found = {r["slot"]: (r["depth"], r["bucket"]) for r in exact.directory(entries, capacity=4).collect()}
     assert all(depth == 6 for depth, _ in found.values()) and len({b for _, b in found.values()}) == 2
-    assert {r["depth"] for r in exact.directory(entries, capacity=8, max_depth=8).collect()} == {0}
+    assert {r["depth"] for r in exact.directory(entries, capacity=8).collect()} == {0}
+    same = spark.createDataFrame([(5,)] * 9 + [(1 << 40,)], "h long")
+    assert {r["depth"] for r in exact.directory(same, capacity=4).collect()} >= {24}  # beyond any fixed depth, until hashes are equal
 
 
 def test_exact_sql(spark):
