@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..database import Database
 from ..functions import count, math, type_
 from ..operators import graph, mutate, numbering, search
 from ..plans.select import Select
+from ..sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,14 +190,11 @@ def _depth_sql(least: int, most: int) -> str:
     return f"WITH RECURSIVE {EDGES}, walk AS (SELECT s_suppkey AS source, s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey <= 5 UNION SELECT source, b, depth + 1 FROM walk JOIN edges ON node = a WHERE depth < {most}) SELECT source, node, min(depth)::INT AS depth FROM walk GROUP BY 1, 2 HAVING min(depth) >= {least}"
 
 
-simple("traverse_depth_bounded", _depth_sql(1, 3), lambda db: graph.reach(sources(db), edges(db), 1, 3))
+simple("traverse_depth_bounded", _depth_sql(1, 3), lambda db: graph.reach(sources(db), edges(db), 1, 3, folder=shared.folder(db.spark)))
 
 
 def _rounds(db: Files) -> str:
-    import tempfile
-
-    # on a cluster the rounds go to the folder that it shares; a temporary one is for tests in one process
-    return db.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="karst-")
+    return shared.folder(db.spark)
 
 
 @query(_depth_sql(2, 40))
@@ -231,9 +230,9 @@ simple("group_distinct_keys", "SELECT DISTINCT o_orderstatus FROM orders", lambd
 simple("agg_count_truthy", "SELECT o_orderstatus, count(*) FILTER (o_totalprice > 100000) AS large, count(o_custkey) AS there FROM orders GROUP BY 1", lambda db: db.select("orders").group_by("o_orderstatus").fields(count.count(F.col("o_totalprice") > 100000).alias("large"), count.count("o_custkey").alias("there")))
 for _name, _f, _sql in (
     ("sum", math.agg_sum, "round(sum(l_extendedprice), 2)"), ("mean", math.agg_mean, "round(avg(l_extendedprice), 2)"), ("min", math.agg_min, "round(min(l_extendedprice), 2)"), ("max", math.agg_max, "round(max(l_extendedprice), 2)"),
-    ("median", math.agg_median, "round(median(l_extendedprice), 2)"), ("stddev", math.agg_stddev, "round(stddev_samp(l_extendedprice), 2)"), ("variance", math.agg_variance, "round(var_samp(l_extendedprice), 0)"),
+    ("median", math.agg_median, "round(median(l_extendedprice), 3)"), ("stddev", math.agg_stddev, "round(stddev_samp(l_extendedprice), 2)"), ("variance", math.agg_variance, "round(var_samp(l_extendedprice), 0)"),
 ):
-    simple(f"agg_{_name}", f"SELECT l_returnflag, {_sql} AS v FROM lineitem GROUP BY 1", lambda db, f=_f, places=0 if _name == "variance" else 2: db.select("lineitem").group_by("l_returnflag").fields(F.round(f("l_extendedprice"), places).alias("v")))
+    simple(f"agg_{_name}", f"SELECT l_returnflag, {_sql} AS v FROM lineitem GROUP BY 1", lambda db, f=_f, places={"variance": 0, "median": 3}.get(_name, 2): db.select("lineitem").group_by("l_returnflag").fields(F.round(f("l_extendedprice"), places).alias("v")))
 simple("agg_product", "SELECT n_regionkey, product(n_nationkey + 1)::DOUBLE AS v FROM nation GROUP BY 1", lambda db: db.select("nation").group_by("n_regionkey").fields(F.product(F.col("n_nationkey") + 1).alias("v")))
 simple("agg_global", "SELECT count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders", lambda db: db.select("orders").fields("count(*) AS n", "min(o_totalprice) AS low", "max(o_totalprice) AS high"))
 simple("agg_collect_distinct", "SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS segments FROM customer GROUP BY 1", lambda db: db.select("customer").group_by("c_nationkey").fields(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("segments")))
@@ -271,6 +270,13 @@ SELECT id, round(ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (
 FROM c, s WHERE a > 0 OR b > 0"""
 simple("bm25_match", BM25, lambda db: search.bm25(db.frame("documents"), "text", "the der", "doc_id").select("id", F.round("score", 4).alias("score")))
 
+simple("bm25_index", BM25, lambda db: search.TextIndex.build(db.frame("documents"), "text", f"{shared.folder(db.spark)}/karst-text-{uuid.uuid4().hex}", "doc_id").search("the der").select("id", F.round("score", 4).alias("score")))
+simple("filter_matches", f"SELECT doc_id FROM documents WHERE list_has_all({TOKENS}, ['the', 'and'])", lambda db: db.select("documents").where(lambda w: w.build("text", "@1@", "The, and")).fields("doc_id"))
+simple("knn_where", f"SELECT vec_id, round(1 - list_cosine_similarity({E}, {PSQL}), 4) AS distance FROM embeddings WHERE label = 3 ORDER BY 1 - list_cosine_similarity({E}, {PSQL}), vec_id LIMIT 5", lambda db: search.nearest(db.select("embeddings").where(lambda w: w.eq("label", 3)).df(), "embedding", PROBE, 5, tie="vec_id").select("vec_id", F.round("distance", 4).alias("distance")))
+simple("knn_many", "SELECT query_id, id, round(d, 4) AS distance FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), e.vec_id) AS k FROM embeddings q, embeddings e WHERE q.label = 2 AND e.label <> 2) WHERE k <= 3", lambda db: search.nearest_many(db.frame("embeddings").filter("label <> 2"), "embedding", db.frame("embeddings").filter("label = 2"), "embedding", 3, "euclidean", "vec_id", "vec_id").select("query_id", "id", F.round("distance", 4).alias("distance")))
+simple("where_behind", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey = c_custkey AND p_size = 7)", lambda db: Select(_graph(db), "customers").where_behind([("placed", "out"), ("holds", "out")], "parts", lambda w: w.eq("p_size", 7)).fields("c_custkey"))
+simple("agg_approx_distinct", "SELECT 1 AS near", lambda db: db.frame("orders").agg(count.approx_count_distinct("o_custkey", 0.01).alias("a"), count.count_distinct("o_custkey").alias("n")).select((F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).cast("int").alias("near")))
+
 # -- writes: the state after them
 cust = lambda db: db.frame("customer").select("c_custkey", "c_name", "c_acctbal")
 fresh = lambda db: cust(db).filter("c_custkey <= 20").select((F.col("c_custkey") * 10).alias("c_custkey"), F.concat(F.lit("new "), "c_name").alias("c_name"))
@@ -279,6 +285,7 @@ FRESH = "SELECT c_custkey * 10 AS c_custkey, 'new ' || c_name AS c_name FROM cus
 simple("insert_many", f"{CU} UNION ALL SELECT c_custkey, c_name, NULL FROM ({FRESH})", lambda db: mutate.insert(cust(db), fresh(db)))
 simple("insert_ignore", f"{CU} UNION ALL SELECT c_custkey, c_name, NULL FROM ({FRESH}) f WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = f.c_custkey)", lambda db: mutate.insert_ignore(cust(db), fresh(db), "c_custkey"))
 simple("create", f"{CU} UNION ALL SELECT -1 - c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey < 5", lambda db: mutate.create(cust(db), cust(db).filter("c_custkey < 5").withColumn("c_custkey", -1 - F.col("c_custkey")), "c_custkey"))
+simple("insert_records", f"{CU} WHERE c_custkey NOT IN (SELECT c_custkey * 10 FROM customer) UNION ALL SELECT c_custkey * 10, 'new ' || c_name, NULL FROM customer", lambda db: mutate.records(cust(db), renewed(db), "c_custkey"))
 # the same with rows written from all of customer
 renewed = lambda db: cust(db).select((F.col("c_custkey") * 10).alias("c_custkey"), F.concat(F.lit("new "), "c_name").alias("c_name"))
 RENEWED = "SELECT c_custkey * 10 AS c_custkey, 'new ' || c_name AS c_name FROM customer"
@@ -313,12 +320,11 @@ simple("version_read", LAST.format("WHERE event_id <= 300"), lambda db: mutate.r
 
 def _streamed(db: Files, build) -> DataFrame:
     """What a live query over the change log delivers, once it has caught up."""
-    import tempfile
     import uuid
 
     from ..streaming.live import Live
 
-    root = (db.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="karst-")) + f"/karst-live-{uuid.uuid4().hex}"
+    root = f"{shared.folder(db.spark)}/karst-live-{uuid.uuid4().hex}"
     log = _log(db)
     log.withColumn("version", F.col("version").cast("long")).write.parquet(f"{root}/log")
     live = build(Live(db.spark, f"{root}/log", log.schema["row"].dataType))

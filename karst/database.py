@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -13,9 +14,49 @@ from .functions.sequence import Sequence
 from .operators import mutate
 from .plans.select import Select
 from .schema import Table
+from .sources import shared
 from .sources.store import Store
 
 
+@dataclass(frozen=True)
+class Model:
+    """A table's verbs without its name; ids may leave the name out too."""
+
+    db: Database
+    name: str
+
+    def _id(self, id: str) -> str:
+        return id if id.startswith(f"{self.name}:") else f"{self.name}:{id}"
+
+    def select(self, id: str | None = None) -> Select:
+        return self.db.select(self.name if id is None else self._id(id))
+
+    def find(self, id: str) -> dict | None:
+        row = self.select(id).df().first()
+        return row.asDict(recursive=True) if row else None
+
+    def insert(self, rows: list[dict] | DataFrame, ignore_duplicates: bool = False) -> None:
+        self.db.insert(self.name, rows, ignore_duplicates)
+
+    def records(self, rows: list[dict] | DataFrame) -> None:
+        self.db.records(self.name, rows)
+
+    def create(self, data: dict, id: str | None = None) -> None:
+        self.db.create(self.name, data, id)
+
+    def update(self, data: dict, id: str | None = None, where=None) -> None:
+        self.db.update(self.name if id is None else self._id(id), data, where)
+
+    def replace(self, id: str, data: dict) -> None:
+        self.db.replace(self._id(id), data)
+
+    def upsert(self, rows: list[dict] | DataFrame) -> None:
+        self.db.upsert(self.name, rows)
+
+    def delete(self, id: str | None = None, where=None, limit: int | None = None) -> None:
+        self.db.delete(self.name if id is None else self._id(id), where, limit)
+
+
 @dataclass
 class Event:
     """A trigger: when a change of the table fulfils a condition, a handler gets the change rows."""
@@ -92,6 +133,12 @@ class Database:
             raise ValueError("versions need a store")
         return self.store.read(name, version)
 
+    def model(self, table: str | Table) -> Model:
+        """The verbs of one table, bound to it."""
+        return Model(self, table.name if isinstance(table, Table) else table)
+
+    bind_table = model
+
     def select(self, target: str | Table) -> Select:
         """From a table, or with a record id from its one row."""
         name = target.name if isinstance(target, Table) else target
@@ -153,6 +200,11 @@ class Database:
         new = self._rows(name, rows)
         self._write(name, mutate.insert_ignore(old, new) if ignore_duplicates else mutate.insert(old, new))
 
+    def records(self, name: str, rows: list[dict] | DataFrame) -> None:
+        """Rows that stand in the place of those of equal id, as a whole."""
+        new = self._rows(name, rows)
+        self._write(name, mutate.records(self.frame(name), new))
+
     def create(self, name: str, data: dict, id: str | None = None) -> None:
         if not data:
             raise ValueError("no data")
@@ -185,17 +237,43 @@ class Database:
     def upsert_where(self, name: str, where, data: dict, new_id: str) -> None:
         self._write(name, mutate.upsert_where(self.frame(name), where, data, new_id))
 
+    def _written(self, df: DataFrame) -> DataFrame:
+        """df read back from the shared folder, so that rounds don't pile up in one plan."""
+        path = f"{shared.folder(self.spark)}/karst-gone-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def delete(self, target: str, where=None, limit: int | None = None) -> None:
-        """Deletes one row (table:key), the matching rows or all, and follows the links to them."""
+        """Deletes one row (table:key), the matching rows or all, and follows the links to them as far as they cascade."""
         name, colon, _ = target.partition(":")
         old = self.frame(name)
         left = mutate.delete(old, (lambda w: w.eq("id", target)) if colon else where, limit)
-        gone = old.join(left.select("id"), "id", "left_anti")
-        for other in self.tables.values():
-            for link, f in other.links().items():
-                if name in f.targets and f.on_delete != "ignore":
-                    self._write(other.name, mutate.on_delete(self.frame(other.name), link, gone, f.on_delete))
-        self._write(name, left)
+        links = [(t.name, link, to, f.on_delete) for t in self.tables.values() for link, f in t.links().items() for to in f.targets if f.on_delete != "ignore"]
+        if not links:
+            self._write(name, left)
+            return
+        fresh = {name: self._written(old.join(left.select("id"), "id", "left_anti").select("id"))}
+        gone = dict(fresh)
+        while fresh:
+            found: dict[str, DataFrame] = {}
+            for other, link, to, action in links:
+                if action == "cascade" and to in fresh:
+                    ids = fresh[to].select(F.col("id").alias("_gone"))
+                    hit = self.frame(other).join(ids, F.col(link) == F.col("_gone"), "left_semi").select("id")
+                    found[other] = found[other].unionByName(hit) if other in found else hit
+            fresh = {}
+            for other, ids in found.items():
+                ids = ids.distinct()
+                ids = self._written(ids.join(gone[other], "id", "left_anti") if other in gone else ids)
+                if not ids.isEmpty():
+                    fresh[other] = ids
+                    gone[other] = gone[other].unionByName(ids) if other in gone else ids
+        after = {t: self.frame(t).join(ids, "id", "left_anti").select(*self.frame(t).columns) for t, ids in gone.items()}
+        for other, link, to, action in links:
+            if action != "cascade" and to in gone:
+                after[other] = mutate.on_delete(after.get(other, self.frame(other)), link, gone[to], action)
+        for other in [t for t in after if t != name] + [name]:
+            self._write(other, after[other])
 
     def relate(self, source: str, edge: str, target: str, data: dict | None = None) -> None:
         pair = self.spark.createDataFrame([(source, target)], "`in` string, out string")

@@ -20,5 +20,9 @@ def count_all() -> Column:
     return F.count(F.lit(1))
 
 
+def approx_count_distinct(x, error: float = 0.05) -> Column:
+    return F.approx_count_distinct(col(x), error)
+
+
 def count_distinct(x) -> Column:
     return F.count_distinct(col(x))

@@ -50,6 +50,17 @@ def path(df: DataFrame, hops: list[tuple[DataFrame, str]], targets: DataFrame, t
     return step(df, at.select(F.col("_origin").alias("in"), F.col("_at").alias("out")), targets, to, "out", key, fields)
 
 
+def behind(hops: list[tuple[DataFrame, str]], targets: DataFrame, key: str = "id") -> DataFrame:
+    """(id) of the rows from which some hops, each (edges, direction), lead to one of the targets.
+
+    Walked from the targets back, a semi join for each hop: nothing is gathered.
+    """
+    at = targets.select(F.col(key).alias("_to"))
+    for edges, direction in reversed(hops):
+        at = _ends(edges, direction).join(at, "_to", "left_semi").select(F.col("_from").alias("_to")).distinct()
+    return at.select(F.col("_to").alias("id"))
+
+
 def check_depth(least: int, most: int | None) -> None:
     if least < 0:
         raise ValueError("depth starts at 0")
@@ -62,14 +73,14 @@ def reach(sources: DataFrame, edges: DataFrame, least: int = 1, most: int | None
 
     Breadth first: each round follows the newest nodes only, and an anti join drops
     those already seen, so cycles end.  Rounds are written to ``folder`` (by default
-    spark.checkpoint.dir), which bounds the plan; without a largest depth it goes on until
-    a round finds nothing new.
+    spark.checkpoint.dir), which bounds the plan, as each round reads all before it; a search of more than
+    one round needs the folder.  Without a largest depth it goes on until a round finds nothing new.
     """
     check_depth(least, most)
     spark = sources.sparkSession
     folder = folder or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and most is None:
-        raise ValueError("a search without a largest depth needs spark.checkpoint.dir")
+    if folder is None and (most is None or most > 1):
+        raise ValueError("a search of several rounds needs spark.checkpoint.dir")
 
     def kept(df: DataFrame) -> DataFrame:
         if folder is None:

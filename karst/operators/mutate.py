@@ -24,6 +24,11 @@ def insert_ignore(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return insert(old, fresh)
 
 
+def records(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of new stand in the place of those of equal key, as a whole, or are appended. new has distinct keys."""
+    return insert(old.join(new.select(key), key, "left_anti").select(*old.columns), new)
+
+
 def create(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Appends, and raises when a key is there already or comes twice."""
     taken = old.select(F.col(key).alias("_taken")).distinct()

@@ -1,10 +1,14 @@
-"""Exact nearest neighbours and full-text search with BM25."""
+"""Exact nearest neighbours and full-text search with BM25, over rows or over stored postings."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector
@@ -25,12 +29,69 @@ def nearest(df: DataFrame, field: str, query: list[float], k: int, distance: str
     return rows.filter(F.col(to).isNotNull()).orderBy(F.col(to).asc(), F.col(tie).asc()).limit(k)
 
 
+#: Numbers of all queries of one block, at most: 32 MB where they are broadcast.
+BLOCK_NUMBERS = 1 << 22
+
+
+def nearest_many(df: DataFrame, field: str, queries: DataFrame, query_field: str, k: int, distance: str = "cosine", id: str = "id", query_id: str = "id") -> DataFrame:
+    """(query_id, id, distance): for each of the queries the k rows nearest to it, ties by id.
+
+    Queries are broadcast in blocks of bounded size, each against all rows; a task keeps k rows
+    for each query and batch.  Null vectors, and with cosine those of length 0, are near nothing.
+    """
+    if distance not in ("cosine", "euclidean"):
+        raise ValueError("many queries go by cosine or euclidean")
+    wanted = queries.select(F.col(query_id).alias("id"), F.col(query_field).cast("array<double>").alias("v")).filter("v is not null")
+    spark, kind, other = df.sparkSession, df.schema[id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    schema = f"query_id {other}, id {kind}, distance double"
+    found, block = None, []
+
+    def against(rows: list) -> DataFrame:
+        given = spark.sparkContext.broadcast(([r["id"] for r in rows], np.array([r["v"] for r in rows])))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, q = given.value
+            for x in batches:
+                if not len(x):
+                    continue
+                m, own = np.stack(x["v"].to_numpy()).astype(float), x["id"].to_numpy()
+                if distance == "cosine":
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        d = 1 - (q @ m.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(m, axis=1)
+                else:
+                    d = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + (m**2).sum(axis=1) - 2 * q @ m.T, 0))
+                for name, line in zip(names, d):
+                    order = np.lexsort((own, line))[:k]
+                    order = order[~np.isnan(line[order])]
+                    yield pd.DataFrame({"query_id": [name] * len(order), "id": own[order], "distance": line[order]})
+
+        return df.select(F.col(id).alias("id"), F.col(field).cast("array<double>").alias("v")).filter("v is not null").mapInPandas(run, schema)
+
+    for r in wanted.toLocalIterator():
+        block.append(r)
+        if len(block) * len(r["v"]) >= BLOCK_NUMBERS:
+            found, block = against(block) if found is None else found.unionByName(against(block)), []
+    if block:
+        found = against(block) if found is None else found.unionByName(against(block))
+    if found is None:
+        return spark.createDataFrame([], schema)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+
+
 def tokens(text: Column, pattern: str = "[^\\p{L}\\p{N}]+", lowercase: bool = True, least: int = 1) -> Column:
     """Words of a text."""
     words = F.split(F.lower(text) if lowercase else text, pattern)
     return F.filter(words, lambda w: F.char_length(w) >= least)
 
 
+def terms(query: str, pattern: str = "[^\\p{L}\\p{N}]+", lowercase: bool = True, least: int = 1) -> list[str]:
+    """The distinct terms of a query, cut as ``tokens`` cuts texts."""
+    import regex
+
+    return sorted({t for t in regex.split(pattern, query.lower() if lowercase else query) if t and len(t) >= least})
+
+
 def _is(term: str):
     return lambda w: w == F.lit(term)
 
@@ -58,3 +119,37 @@ def bm25(df: DataFrame, field: str, query: str, id: str = "id", k1: float = 1.2,
         scored = scored + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     # totals is a single row by construction
     return rows.filter(test).join(F.broadcast(totals)).select("id", scored.alias(to))
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """Postings (term, id, tf, n) in order of their term, and the table's statistics, under one folder.
+
+    A search reads the row groups of its own terms only.  Building it anew is one more ``build``.
+    """
+
+    spark: SparkSession
+    path: str
+    options: tuple = ()
+
+    @classmethod
+    def build(cls, df: DataFrame, field: str, path: str, id: str = "id", **analyser) -> TextIndex:
+        rows = df.select(F.col(id).alias("id"), tokens(F.coalesce(F.col(field), F.lit("")), **analyser).alias("words")).withColumn("n", F.size("words"))
+        postings = rows.select("id", "n", F.explode("words").alias("term")).groupBy("term", "id", "n").agg(F.count(F.lit(1)).alias("tf"))
+        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        rows.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
+        return cls(df.sparkSession, path, tuple(analyser.items()))
+
+    def search(self, query: str, k1: float = 1.2, b: float = 0.75, all_terms: bool = False, to: str = "score") -> DataFrame:
+        """(id, score) as ``bm25`` gives them."""
+        wanted = terms(query, **dict(self.options))
+        if not wanted:
+            raise ValueError("the query has no term")
+        hits = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("term").isin(*wanted))
+        # one row, and one for each term of the query
+        totals = F.broadcast(self.spark.read.parquet(f"{self.path}/totals"))
+        held = F.broadcast(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+        idf = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+        found = hits.join(held, "term").join(totals).groupBy("id").agg(F.sum(part).alias(to), F.count(F.lit(1)).alias("_terms"))
+        return (found.filter(F.col("_terms") == len(wanted)) if all_terms else found).select("id", to)

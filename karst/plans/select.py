@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import predicates
-from ..operators import graph
+from ..operators import graph, search
 from . import setops
 
 
@@ -47,6 +47,7 @@ class Select:
     seconds: float | None = None
     at_version: int | None = None
     keep_empty: bool = False
+    near: tuple | None = None
 
     # -- projection
     def fields(self, *names: str | Column) -> Select:
@@ -68,6 +69,20 @@ class Select:
         """A callback, a column or text; several calls must all hold."""
         return replace(self, conditions=(*self.conditions, condition))
 
+    def where_behind(self, hops: list[tuple[str, str]], target: str, condition) -> Select:
+        """Rows from which hops, each (edge, direction), lead to a row of target that fulfils a condition."""
+
+        def test(w) -> Column:
+            rows = self._frame(target)
+            found = graph.behind([(self._frame(e), d) for e, d in hops], rows.filter(predicates.resolve(rows, condition)))
+            return w.in_query("id", found)
+
+        return self.where(test)
+
+    def nearest(self, name: str, vector: list[float], k: int, distance: str = "cosine", to: str = "distance") -> Select:
+        """Of the rows that all conditions leave, the k nearest to a vector."""
+        return replace(self, near=(name, vector, k, distance, to))
+
     def group_by(self, *names: str | Column) -> Select:
         return replace(self, groups=names)
 
@@ -80,7 +95,7 @@ class Select:
         if direction.lower() not in ("asc", "desc"):
             raise ValueError("direction is asc or desc")
         c = F.col(name) if isinstance(name, str) else name
-        return replace(self, order=(*self.order, c.asc() if direction.lower() == "asc" else c.desc()))
+        return replace(self, order=(*self.order, (c, direction.lower())))
 
     def limit(self, n: int) -> Select:
         if n < 0:
@@ -191,14 +206,26 @@ class Select:
             df = df.select(*shown)
         if self.dropped:
             df = df.drop(*self.dropped)
-        if self.order:
-            df = df.orderBy(*self.order)
+        places = [f"_place{i}" for i in range(len(self.order))]
+        if self.order and self.links:
+            # the joins that follow may deal rows out anew: what they are sorted by goes along
+            df = df.select("*", *(c.alias(p) for p, (c, _) in zip(places, self.order)))
+            sorts = [F.col(p).asc() if d == "asc" else F.col(p).desc() for p, (_, d) in zip(places, self.order)]
+        else:
+            sorts = [c.asc() if d == "asc" else c.desc() for c, d in self.order]
+        if sorts:
+            df = df.orderBy(*sorts)
+        if self.near:
+            field, vector, k, distance, to = self.near
+            df = search.nearest(df, field, vector, k, distance, to)
         if self.skip:
             df = df.offset(self.skip)
         if self.count is not None:
             df = df.limit(self.count)
         for name, target in self.links:
             df = graph.fetch(df, name, self._frame(target or self._target(name)))
+        if sorts and self.links:
+            df = df.orderBy(*sorts).drop(*places)
         for kind, other in self.operations:
             df = setops.OPERATIONS[kind](df, as_frame(other))
         return df

@@ -8,6 +8,7 @@ A column may be given by name or as a column; values stay values unless they are
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import Any
 
@@ -146,6 +147,15 @@ def outside(point, ring) -> Column:
     return negate(intersects(point, ring))
 
 
+def matches(c, query: str, **analyser) -> Column:
+    """Holds every term of a query, as the analyser cuts both (see search.tokens)."""
+    from .operators import search
+
+    terms = search.terms(query, **analyser)
+    words = search.tokens(column(c), **analyser)
+    return all_of(*(F.array_contains(words, t) for t in terms)) if terms else F.lit(False)
+
+
 def raw(text: str) -> Column:
     """Spark SQL text, standing in brackets."""
     return F.expr(f"({text})")
@@ -172,6 +182,8 @@ OPERATORS = {
 
 
 def build(c, operator: str, v) -> Column:
+    if re.fullmatch(r"@\d*@", operator):  # the number names the match for its score and changes nothing here
+        return matches(c, v)
     if operator not in OPERATORS:
         raise ValueError(f"unknown operator {operator!r}")
     return OPERATORS[operator](c, v)

@@ -3,6 +3,11 @@
 Layout: ``<root>/<table>/log/version=<n>`` holds the change rows of version n and
 ``<root>/<table>/schema.json`` the row's type.  A version counts once its folder
 has a ``_SUCCESS`` file, so a write that breaks off is not seen.
+
+A writer claims the version after the one it has read by creating a file that must not be there
+yet; of two writers that start from one version the second fails with ``Conflict``, and reads again.
+``<root>/<table>/snapshot/version=<n>`` holds whole rows, written every ``SNAPSHOT`` versions, so a
+read replays the changes after the last one only.
 """
 
 from __future__ import annotations
@@ -18,9 +23,17 @@ from ..operators import mutate
 from ..streaming.live import Live, log_schema
 
 
+SNAPSHOT = 16
+
+
+class Conflict(RuntimeError):
+    """Another writer has taken the version."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.seen: dict[str, int] = {}  # the version of each table that was read last
 
     def _log(self, table: str) -> str:
         return f"{self.root}/{table}/log"
@@ -35,8 +48,8 @@ class Store:
     def remove(self, table: str) -> None:
         files.delete(self.spark, f"{self.root}/{table}")
 
-    def versions(self, table: str) -> list[int]:
-        fs, path = files._fs(self.spark, self._log(table))
+    def _versions(self, folder: str) -> list[int]:
+        fs, path = files._fs(self.spark, folder)
         if not fs.exists(path):
             return []
         names = [s.getPath() for s in fs.listStatus(path)]
@@ -44,8 +57,27 @@ class Store:
         done = [p for p in names if p.getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
         return sorted(int(p.getName().split("=")[1]) for p in done)
 
-    def log(self, table: str, upto: int | None = None) -> DataFrame:
-        found = [v for v in self.versions(table) if upto is None or v <= upto]
+    def versions(self, table: str) -> list[int]:
+        return self._versions(self._log(table))
+
+    def _claim(self, table: str, version: int) -> None:
+        fs, path = files._fs(self.spark, f"{self.root}/{table}/claims/{version}")
+        try:
+            fs.create(path, False).close()
+        except Exception as e:
+            if "already exists" in str(e) or fs.exists(path):
+                raise Conflict(f"{table}: version {version} is taken; read again, or discard() what has broken off") from None
+            raise
+
+    def discard(self, table: str, version: int) -> None:
+        """Frees a version that a writer has claimed and not completed."""
+        if version in self.versions(table):
+            raise ValueError(f"version {version} is complete")
+        files.delete(self.spark, f"{self._log(table)}/version={version}")
+        files.delete(self.spark, f"{self.root}/{table}/claims/{version}")
+
+    def log(self, table: str, upto: int | None = None, after: int = 0) -> DataFrame:
+        found = [v for v in self.versions(table) if after < v and (upto is None or v <= upto)]
         kind = log_schema(self.schema(table))
         if not found:
             return self.spark.createDataFrame([], kind)
@@ -55,16 +87,38 @@ class Store:
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """The table now or as it was; empty before its first version."""
-        if not self.versions(table):
+        found = [v for v in self.versions(table) if version is None or v <= version]
+        if version is None:
+            self.seen[table] = (found or [0])[-1]
+        if not found:
             return self.spark.createDataFrame([], self.schema(table))
-        return mutate.replay(self.log(table), version).select(*self.schema(table).fieldNames())
+        schema = self.schema(table)
+        base = max((v for v in self._versions(f"{self.root}/{table}/snapshot") if v <= found[-1]), default=0)
+        changes = self.log(table, found[-1], base)
+        if base:
+            rows = self.spark.read.schema(schema).parquet(f"{self.root}/{table}/snapshot/version={base}")
+            kept = rows.select(F.lit(base).cast("long").alias("version"), F.lit("CREATE").alias("action"), "id", F.struct(*schema.fieldNames()).alias("row"))
+            changes = kept.unionByName(changes)
+        return mutate.replay(changes).select(*schema.fieldNames())
+
+    def snapshot(self, table: str, version: int) -> None:
+        """Writes the whole rows of a version."""
+        self.read(table, version).write.mode("overwrite").parquet(f"{self.root}/{table}/snapshot/version={version}")
 
     def write(self, table: str, after: DataFrame) -> int:
-        """Records what leads from the table now to ``after``; returns the new version."""
-        version = (self.versions(table) or [0])[-1] + 1
-        before = self.read(table)
-        rows = mutate.changes(before, after.select(*before.columns), version)
-        rows.drop("version").write.mode("overwrite").parquet(f"{self._log(table)}/version={version}")
+        """Records what leads from the version read last to ``after``; returns the new version."""
+        base = self.seen.get(table, (self.versions(table) or [0])[-1])
+        version = base + 1
+        self._claim(table, version)
+        try:
+            before = self.read(table, base)
+            rows = mutate.changes(before, after.select(*before.columns), version)
+            rows.drop("version").write.mode("overwrite").parquet(f"{self._log(table)}/version={version}")
+        except BaseException:
+            self.discard(table, version)
+            raise
+        if version % SNAPSHOT == 0:
+            self.snapshot(table, version)
         return version
 
     def show_changes(self, table: str, since: int = 0, limit: int = 10) -> DataFrame:
