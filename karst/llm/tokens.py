@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Chunks kept by a worker; beyond it the cache starts anew.
-CACHE = 800_000
+CACHE = 1_200_000
 #: The id written after each document.
 END_ID = 0
 _PLAIN = re.compile(rb"([a-z]*)([!-&(-/:-@\[-`{-~]*)")

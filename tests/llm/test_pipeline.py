@@ -24,6 +24,22 @@ def test_run(spark):
     check_packing([tuple(r) for r in corpus_pipeline.run(spark, DIR).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").collect()], rows, 2048)
 
 
+def test_only_the_last_table_stays(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        assert corpus_pipeline.run(spark, DIR).count() > 0
+        assert [p.name.split("-")[2] for p in tmp_path.iterdir()] == ["packing"]
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+
+
+def test_packing_takes_anything(spark, messy, messy_df, empty_df):
+    rows = [tuple(r) for r in corpus_pipeline.packing_stage(spark, messy_df, DIR).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").collect()]
+    check_packing(rows, messy, 2048)
+    assert corpus_pipeline.packing_stage(spark, empty_df, DIR).collect() == []
+
+
 @pytest.mark.parametrize("k", range(4))
 def test_stage_keeps_columns_and_takes_anything(spark, messy_df, empty_df, k):
     name, stage = corpus_pipeline.STAGES[k]
