@@ -3,7 +3,13 @@
 Each stage is given what its predecessor kept and calls one operator over all of
 it; what it decides takes effect in what it returns.  All stages but the last
 return the columns of their input.  A stage's result is written as Parquet and
-read again, so a lost executor costs no more than the stage at hand.
+read again, so a lost executor costs no more than the stage at hand.  Tables that a
+stage needed on its way, and its predecessor's, are deleted once it is written.
+
+Defined results, of every stage: null text counts as empty, and has no language; texts may be of any
+length; rows that share a doc_id, or have none, are told apart by a key of their own; of repeated
+rows one stays behind exact dedup, the last in order of that key; ties between languages go to the first by
+name; an empty table gives an empty table; further columns stay as they are, and the last stage drops them.
 """
 
 from __future__ import annotations
@@ -68,7 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = scratch.documents(spark, sf_dir)
+    docs, held = scratch.documents(spark, sf_dir), []
     for name, stage in STAGES:
-        docs = scratch.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch.temporary(spark) as made:
+            docs = scratch.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept = made.pop()  # the stage's own table is the last
+            made += held
+            held = [kept]
     return docs
