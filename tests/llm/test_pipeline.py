@@ -5,7 +5,7 @@ import pytest
 from test_dedup import brute_exact, brute_near
 from test_text import check_packing
 
-from karst.llm import langid, pseudonyms
+from karst.llm import langid, pseudonyms, scratch
 
 DIR = "/root/testdata/sf0.001"
 
@@ -24,14 +24,10 @@ def test_run(spark):
     check_packing([tuple(r) for r in corpus_pipeline.run(spark, DIR).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").collect()], rows, 2048)
 
 
-def test_only_the_last_table_stays(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert corpus_pipeline.run(spark, DIR).count() > 0
-        assert [p.name.split("-")[2] for p in tmp_path.iterdir()] == ["packing"]
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_only_the_last_table_stays(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "folder", lambda spark: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, DIR).count() > 0
+    assert [p.name.split("-")[2] for p in tmp_path.iterdir()] == ["packing"]
 
 
 def test_packing_takes_anything(spark, messy, messy_df, empty_df):
