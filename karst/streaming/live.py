@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .. import predicates
 from ..operators import graph
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ACTIONS = ("CREATE", "UPDATE", "DELETE")
 
@@ -37,11 +38,12 @@ class LastRow(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         old = json.loads(self.last.get()[0]) if self.last.exists() else None
         out = []
-        for x in rows:
-            for version, action, row in sorted(zip(x["version"], x["action"], x["row"])):
-                new = None if action == "DELETE" else json.loads(row)
-                out.append((version, action, key[0], json.dumps(patch(old, new), sort_keys=True)))
-                old = new
+        # a trigger's changes of one id may come in several batches, in any order
+        changes = [c for x in rows for c in zip(x["version"], x["action"], x["row"])]
+        for version, action, row in sorted(changes, key=lambda c: c[0]):
+            new = None if action == "DELETE" else json.loads(row)
+            out.append((version, action, key[0], json.dumps(patch(old, new), sort_keys=True)))
+            old = new
         if old is None:
             self.last.clear()
         else:
@@ -119,9 +121,18 @@ class Live:
 
     def start(self, deliver: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False):
         """Gives each batch of changes to a callback. Returns the query; its stop() ends the subscription."""
-        if self.patches:
-            # state of this kind is kept by the RocksDB provider
-            self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         writer = self.stream().writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
         writer = writer.outputMode("append")
-        return (writer.trigger(availableNow=True) if once else writer).start()
+        writer = writer.trigger(availableNow=True) if once else writer
+        if not self.patches:
+            return writer.start()
+        # state of this kind is kept by the RocksDB provider; a query keeps the settings that it starts with
+        before = self.spark.conf.get(PROVIDER, None)
+        self.spark.conf.set(PROVIDER, ROCKSDB)
+        try:
+            return writer.start()
+        finally:
+            if before is None:
+                self.spark.conf.unset(PROVIDER)
+            else:
+                self.spark.conf.set(PROVIDER, before)
