@@ -339,7 +339,12 @@ simple("live_windows", "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_
 
 
 # -- statements
-@query(None)
+# the names of SQL's types as Spark spells them
+@query("""
+SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS kind,
+    true AS optional, '' AS links
+FROM (DESCRIBE orders)
+""")
 def info_table(db):
     return db.info("orders")
 
@@ -350,7 +355,13 @@ def explain(db):
     return db.spark.createDataFrame([(line,) for line in text.splitlines()], "line string")
 
 
-@query(None)
+# a new column that must have a value, and has no default, breaks the rows there are
+@query("""
+SELECT * FROM (VALUES
+    ('drop_column', 'orders.o_orderstatus', 'ALTER TABLE `orders` DROP COLUMN `o_orderstatus`', true),
+    ('drop_table', 'region', 'DROP TABLE `region`', true),
+    ('add_column', 'orders.o_note', 'ALTER TABLE `orders` ADD COLUMN `o_note` string', true)) t(kind, name, sql, loses)
+""")
 def ddl_diff(db):
     from ..plans import ddl
     from ..schema import infer

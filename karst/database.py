@@ -7,9 +7,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import predicates
 from .functions.sequence import Sequence
 from .operators import mutate
 from .plans.select import Select
@@ -18,6 +19,11 @@ from .sources import shared
 from .sources.store import Store
 
 
+def _named(new: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Of a table's rows those that have an id of new."""
+    return lambda rows: rows.join(new.select("id"), "id", "left_semi").select(*rows.columns)
+
+
 @dataclass(frozen=True)
 class Model:
     """A table's verbs without its name; ids may leave the name out too."""
@@ -116,15 +122,18 @@ class Database:
     def table(self, name: str) -> Table | None:
         return self.tables.get(name)
 
-    def frame(self, name: str) -> DataFrame:
+    def _all(self, name: str) -> DataFrame:
+        """All rows of a table, also those that its permission to select hides."""
         if self.staged and name in self.staged:
-            df = self.staged[name]
-        elif name in self.frames:
-            df = self.frames[name]
-        elif self.store and name in self.tables:
-            df = self.store.read(name)
-        else:
-            df = self.spark.table(name)
+            return self.staged[name]
+        if name in self.frames:
+            return self.frames[name]
+        if self.store and name in self.tables:
+            return self.store.read(name)
+        return self.spark.table(name)
+
+    def frame(self, name: str) -> DataFrame:
+        df = self._all(name)
         table = self.tables.get(name)
         return table.visible(df) if table else df
 
@@ -157,20 +166,42 @@ class Database:
             return
         self._commit({name: after})
 
+    def _apply(self, name: str, part: Callable[[DataFrame], DataFrame], verb: Callable[[DataFrame], DataFrame]) -> None:
+        """Writes what the verb makes of all rows.  Where they are stored, only the part that it can touch is compared."""
+        rows = self._all(name)
+        if self.staged is not None or name in self.frames or not self.store:
+            self._write(name, verb(rows))
+            return
+        before = part(rows)
+        self._fire(name, self._recorded(name, self.store.record(name, before, verb(before))))
+
+    def _recorded(self, name: str, version: int) -> DataFrame:
+        return self.store.log(name, version, version - 1)
+
     def _commit(self, tables: dict[str, DataFrame]) -> None:
         for name, after in tables.items():
             before = self.frames.get(name)
             if before is None and self.store:
-                version = self.store.write(name, after)
-                log = self.store.log(name).filter(F.col("version") == version)
+                log = self._recorded(name, self.store.write(name, after))
             else:
                 self.frames[name] = after
                 log = mutate.changes(before, after, 0) if any(e.table == name for e in self.events) else None
-            for event in self.events:
-                if event.table == name:
-                    found = log.filter(F.expr(event.when))
-                    if not found.isEmpty():
-                        event.then(found)
+            self._fire(name, log)
+
+    def _fire(self, name: str, log: DataFrame | None) -> None:
+        for event in self.events:
+            if event.table == name:
+                found = log.filter(F.expr(event.when))
+                if not found.isEmpty():
+                    event.then(found)
+
+    def _where(self, name: str, where) -> Column:
+        """A condition on the rows of a table, TRUE only for those that its permission to select lets through."""
+        test = F.lit(True) if where is None else predicates.resolve(self._all(name), where)
+        table = self.tables.get(name)
+        if table and "select" in table.permissions:
+            test = test & F.expr(table.permissions["select"])
+        return F.coalesce(test, F.lit(False))
 
     def _rows(self, name: str, rows: list[dict] | DataFrame) -> DataFrame:
         table = self.tables.get(name)
@@ -190,26 +221,26 @@ class Database:
         if table:
             df = table.conform(table.visible(df, "create"))
             for keys in table.unique_keys():
-                clash = mutate.unique_violations(self.frame(name), df, list(keys)).first()
+                clash = mutate.unique_violations(self._all(name), df, list(keys)).first()
                 if clash:
                     raise ValueError(f"{name}: {keys} is unique; there twice: {tuple(clash)[:-1]}")
         return df
 
     def insert(self, name: str, rows: list[dict] | DataFrame, ignore_duplicates: bool = False) -> None:
-        old = self.frame(name)
         new = self._rows(name, rows)
-        self._write(name, mutate.insert_ignore(old, new) if ignore_duplicates else mutate.insert(old, new))
+        self._apply(name, _named(new), lambda old: mutate.insert_ignore(old, new) if ignore_duplicates else mutate.insert(old, new))
 
     def records(self, name: str, rows: list[dict] | DataFrame) -> None:
         """Rows that stand in the place of those of equal id, as a whole."""
         new = self._rows(name, rows)
-        self._write(name, mutate.records(self.frame(name), new))
+        self._apply(name, _named(new), lambda old: mutate.records(old, new))
 
     def create(self, name: str, data: dict, id: str | None = None) -> None:
         if not data:
             raise ValueError("no data")
         given = {**data, **({"id": id if ":" in id else f"{name}:{id}"} if id else {})}
-        self._write(name, mutate.create(self.frame(name), self._rows(name, [given])))
+        new = self._rows(name, [given])
+        self._apply(name, _named(new), lambda old: mutate.create(old, new))
 
     def _readonly(self, name: str) -> tuple[str, ...]:
         table = self.tables.get(name)
@@ -218,16 +249,17 @@ class Database:
     def update(self, target: str, data: dict, where=None) -> None:
         """Merges data into one row (table:key), the matching rows or all."""
         name, colon, _ = target.partition(":")
-        test = (lambda w: w.eq("id", target)) if colon else where
-        self._write(name, mutate.update(self.frame(name), data, test, self._readonly(name)))
+        test = self._where(name, (lambda w: w.eq("id", target)) if colon else where)
+        self._apply(name, lambda old: old.filter(test), lambda old: mutate.update(old, data, lambda w: test, self._readonly(name)))
 
     def replace(self, target: str, data: dict) -> None:
         name = target.partition(":")[0]
-        self._write(name, mutate.replace(self.frame(name), data, lambda w: w.eq("id", target)))
+        test = self._where(name, lambda w: w.eq("id", target))
+        self._apply(name, lambda old: old.filter(test), lambda old: mutate.replace(old, data, lambda w: test))
 
     def upsert(self, name: str, rows: list[dict] | DataFrame) -> None:
         new = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, self._given(name, rows))
-        self._write(name, mutate.upsert(self.frame(name), new))
+        self._apply(name, _named(new), lambda old: mutate.upsert(old, new))
 
     def _given(self, name: str, rows: list[dict]):
         from pyspark.sql import types as T
@@ -235,7 +267,8 @@ class Database:
         return T.StructType([T.StructField(f.name, f.dataType) for f in self.frame(name).schema.fields if any(f.name in r for r in rows)])
 
     def upsert_where(self, name: str, where, data: dict, new_id: str) -> None:
-        self._write(name, mutate.upsert_where(self.frame(name), where, data, new_id))
+        test = self._where(name, where)
+        self._apply(name, lambda old: old.filter(test | F.col("id").eqNullSafe(F.lit(new_id))), lambda old: mutate.upsert_where(old, lambda w: test, data, new_id))
 
     def _written(self, df: DataFrame) -> DataFrame:
         """df read back from the shared folder, so that rounds don't pile up in one plan."""
@@ -246,12 +279,13 @@ class Database:
     def delete(self, target: str, where=None, limit: int | None = None) -> None:
         """Deletes one row (table:key), the matching rows or all, and follows the links to them as far as they cascade."""
         name, colon, _ = target.partition(":")
-        old = self.frame(name)
-        left = mutate.delete(old, (lambda w: w.eq("id", target)) if colon else where, limit)
+        test = self._where(name, (lambda w: w.eq("id", target)) if colon else where)
         links = [(t.name, link, to, f.on_delete) for t in self.tables.values() for link, f in t.links().items() for to in f.targets if f.on_delete != "ignore"]
         if not links:
-            self._write(name, left)
+            self._apply(name, lambda old: old.filter(test), lambda old: mutate.delete(old, lambda w: test, limit))
             return
+        old = self._all(name)
+        left = mutate.delete(old, lambda w: test, limit)
         fresh = {name: self._written(old.join(left.select("id"), "id", "left_anti").select("id"))}
         gone = dict(fresh)
         while fresh:
@@ -259,7 +293,7 @@ class Database:
             for other, link, to, action in links:
                 if action == "cascade" and to in fresh:
                     ids = fresh[to].select(F.col("id").alias("_gone"))
-                    hit = self.frame(other).join(ids, F.col(link) == F.col("_gone"), "left_semi").select("id")
+                    hit = self._all(other).join(ids, F.col(link) == F.col("_gone"), "left_semi").select("id")
                     found[other] = found[other].unionByName(hit) if other in found else hit
             fresh = {}
             for other, ids in found.items():
@@ -268,16 +302,16 @@ class Database:
                 if not ids.isEmpty():
                     fresh[other] = ids
                     gone[other] = gone[other].unionByName(ids) if other in gone else ids
-        after = {t: self.frame(t).join(ids, "id", "left_anti").select(*self.frame(t).columns) for t, ids in gone.items()}
+        after = {t: self._all(t).join(ids, "id", "left_anti").select(*self._all(t).columns) for t, ids in gone.items()}
         for other, link, to, action in links:
             if action != "cascade" and to in gone:
-                after[other] = mutate.on_delete(after.get(other, self.frame(other)), link, gone[to], action)
+                after[other] = mutate.on_delete(after.get(other, self._all(other)), link, gone[to], action)
         for other in [t for t in after if t != name] + [name]:
             self._write(other, after[other])
 
     def relate(self, source: str, edge: str, target: str, data: dict | None = None) -> None:
         pair = self.spark.createDataFrame([(source, target)], "`in` string, out string")
-        self._write(edge, mutate.relate(self.frame(edge), pair, data, edge))
+        self._apply(edge, lambda old: old.filter(F.lit(False)), lambda old: mutate.relate(old, pair, data, edge))
 
     # -- transactions: writes are staged and recorded together; each table's log is atomic by itself
     def begin(self) -> None:

@@ -105,13 +105,15 @@ class Store:
         """Writes the whole rows of a version."""
         self.read(table, version).write.mode("overwrite").parquet(f"{self.root}/{table}/snapshot/version={version}")
 
-    def write(self, table: str, after: DataFrame) -> int:
-        """Records what leads from the version read last to ``after``; returns the new version."""
-        base = self.seen.get(table, (self.versions(table) or [0])[-1])
-        version = base + 1
+    def _base(self, table: str) -> int:
+        """The version that a write starts from: the one read last."""
+        return self.seen[table] if table in self.seen else (self.versions(table) or [0])[-1]
+
+    def record(self, table: str, before: DataFrame, after: DataFrame) -> int:
+        """Records a new version: ``before`` are the rows of the version read last that a write can touch, ``after`` what it makes of them."""
+        version = self._base(table) + 1
         self._claim(table, version)
         try:
-            before = self.read(table, base)
             rows = mutate.changes(before, after.select(*before.columns), version)
             rows.drop("version").write.mode("overwrite").parquet(f"{self._log(table)}/version={version}")
         except BaseException:
@@ -121,6 +123,10 @@ class Store:
             self.snapshot(table, version)
         return version
 
+    def write(self, table: str, after: DataFrame) -> int:
+        """Records what leads from the version read last to ``after``, all rows of the table; returns the new version."""
+        return self.record(table, self.read(table, self._base(table)), after)
+
     def show_changes(self, table: str, since: int = 0, limit: int = 10) -> DataFrame:
         return self.log(table).filter(F.col("version") >= since).orderBy("version", "id").limit(limit)
 

@@ -107,3 +107,35 @@ def test_nearest_many_in_blocks(spark, monkeypatch):
             got = found.filter(f"query_id = {k} and id <> 98").orderBy("distance", "id").collect()
             assert [round(r["distance"], 6) for r in got] == [round(r["distance"], 6) for r in alone][: len(got)] and got
     assert search.nearest_many(df, "v", queries.limit(0), "v", 2).collect() == []
+
+
+def test_writes_of_stored_tables(spark, tmp_path):
+    """Each verb records the rows that it touches; rows that a permission hides stay as they are."""
+    db = Database(spark, f"file://{tmp_path}/s")
+    db.define(S.Table("t", {"n": S.int_(optional=True), "open": S.bool_()}, permissions={"select": "open"}))
+    row = lambda i, n, shown=True: {"id": f"t:{i}", "n": n, "open": shown}
+    db.insert("t", [row(1, 1), row(2, 2), row(3, 3, False)])
+    db.insert("t", [row(2, 20), row(4, 4)], ignore_duplicates=True)
+    db.update("t", {"n": 10}, lambda w: w.gt("n", 1))
+    db.upsert("t", [row(4, 40), row(5, 5)])
+    db.records("t", [row(5, 50), row(6, 6)])
+    db.replace("t:6", {"n": 60, "open": True})
+    db.create("t", {"n": 7, "open": True}, "7")
+    with pytest.raises(Exception, match="id exists"):
+        db.create("t", {"n": 8, "open": True}, "3")
+    db.upsert_where("t", lambda w: w.eq("n", 7), {"n": 70}, "t:8")
+    db.upsert_where("t", lambda w: w.eq("n", 8), {"n": 8, "open": True}, "t:8")
+    db.delete("t", limit=1)
+    db.delete("t", lambda w: w.eq("n", 40))
+    db.delete("t:3")
+    found = {r["id"]: (r["n"], r["open"]) for r in db.store.read("t").collect()}
+    assert found == {"t:2": (10, True), "t:3": (3, False), "t:5": (50, True), "t:6": (60, True), "t:7": (70, True), "t:8": (8, True)}
+    assert ids(db.frame("t")) == ["t:2", "t:5", "t:6", "t:7", "t:8"]
+    log = sorted((r["version"], r["action"], r["id"]) for r in db.store.log("t").collect())
+    assert log == [
+        (1, "CREATE", "t:1"), (1, "CREATE", "t:2"), (1, "CREATE", "t:3"), (2, "CREATE", "t:4"), (3, "UPDATE", "t:2"), (3, "UPDATE", "t:4"), (4, "CREATE", "t:5"), (4, "UPDATE", "t:4"),
+        (5, "CREATE", "t:6"), (5, "UPDATE", "t:5"), (6, "UPDATE", "t:6"), (7, "CREATE", "t:7"), (8, "UPDATE", "t:7"), (9, "CREATE", "t:8"), (10, "DELETE", "t:1"), (11, "DELETE", "t:4"),
+    ]
+    with db:
+        db.update("t", {"n": 0})
+    assert {r["id"]: r["n"] for r in db.store.read("t").collect()} == {"t:2": 0, "t:3": 3, "t:5": 0, "t:6": 0, "t:7": 0, "t:8": 0}
