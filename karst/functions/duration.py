@@ -27,7 +27,8 @@ weeks = _per("INTERVAL '7' DAY")
 
 
 def nanos(d) -> Column:
-    return micros(d) * 1000
+    """NULL where they exceed a long, beyond some 292 years; ``micros`` holds any duration."""
+    return F.try_multiply(micros(d), F.lit(1000))
 
 
 def maximum() -> Column:

@@ -101,7 +101,8 @@ def micros(ts) -> Column:
 
 
 def nanos(ts) -> Column:
-    return F.unix_micros(_ts(ts)) * 1000
+    """NULL where they exceed a long, before 1677 and after 2262; ``micros`` holds any point."""
+    return F.try_multiply(F.unix_micros(_ts(ts)), F.lit(1000))
 
 
 def timezone() -> Column:
