@@ -29,46 +29,113 @@ def nearest(df: DataFrame, field: str, query: list[float], k: int, distance: str
     return rows.filter(F.col(to).isNotNull()).orderBy(F.col(to).asc(), F.col(tie).asc()).limit(k)
 
 
-#: Numbers of all queries of one block, at most: 32 MB where they are broadcast.
-BLOCK_NUMBERS = 1 << 22
+#: Numbers of all queries of one block, at most: 32 MB where they are broadcast. Scores that a task holds at once, at most: 16 MB.
+BLOCK_NUMBERS, SCORES = 1 << 22, 1 << 21
+
+
+def _least_copies(ids: np.ndarray, m: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows, in order of their ids, without those that k copies of smaller ids precede."""
+    order = np.argsort(ids, kind="stable")
+    copies = pd.Series([v.tobytes() for v in m[order]])
+    return order[copies.groupby(copies).cumcount().to_numpy() < k]
+
+
+def _distances(q: np.ndarray, m: np.ndarray, distance: str) -> np.ndarray:
+    """Of each pair of rows, in the same way wherever a pair occurs, so that copies tie."""
+    if distance == "cosine":
+        return 1 - (q * m).sum(axis=1) / np.sqrt((q**2).sum(axis=1)) / np.sqrt((m**2).sum(axis=1))
+    return np.sqrt(((q - m) ** 2).sum(axis=1))
+
+
+def _nearest_in(batches: Iterator[tuple[np.ndarray, np.ndarray]], q: np.ndarray, k: int, distance: str) -> pd.DataFrame:
+    """(query, id, distance) of the k rows nearest to each query, over all batches of (ids, vectors).
+
+    A product of matrices, in parts of bounded size, names the rows that may be among the k; their distances are taken anew.
+    """
+    found = pd.DataFrame({"query": np.empty(0, np.int64), "id": [], "distance": np.empty(0)})
+    limit, square = np.full(len(q), np.inf), (q**2).sum(axis=1)
+    for ids, m in batches:
+        keep = _least_copies(ids, m, k)
+        parts = [found]
+        for first in range(0, len(keep), SCORES):
+            ids_, m_ = ids[keep[first : first + SCORES]], m[keep[first : first + SCORES]]
+            length = (m_**2).sum(axis=1)
+            step = max(1, SCORES // len(m_))
+            for at in range(0, len(q), step):
+                few = slice(at, at + step)
+                score = q[few] @ m_.T
+                if distance == "cosine":
+                    score /= -np.sqrt(square[few])[:, None]
+                    score /= np.sqrt(length)
+                    score += 1
+                    error = np.full(len(score), 1e-15 * (len(m_[0]) + 8))
+                else:
+                    score *= -2
+                    score += square[few][:, None]
+                    score += length
+                    error = 1e-15 * (len(m_[0]) + 8) * (square[few] + length.max())
+                worst = limit[few]
+                most = worst if distance == "cosine" else worst**2 * (1 + 1e-14)
+                if len(m_) > k and np.isinf(most).any():
+                    most = np.minimum(most, np.partition(score, k - 1, axis=1)[:, k - 1])
+                a, b = np.nonzero(score <= (most + 2 * error)[:, None])
+                pairs = max(1, SCORES // len(m_[0]))
+                for i in range(0, len(a), pairs):
+                    x, y = a[i : i + pairs] + at, b[i : i + pairs]
+                    parts.append(pd.DataFrame({"query": x, "id": ids_[y], "distance": _distances(q[x], m_[y], distance)}))
+        if len(parts) > 1:
+            found = pd.concat([x for x in parts if len(x)] or parts[:1]).sort_values(["query", "distance", "id"])
+            found = found[found.groupby("query").cumcount() < k]
+            last = found.groupby("query")["distance"].agg(["size", "last"])
+            last = last[last["size"] == k]["last"]
+            limit[last.index.to_numpy()] = last.to_numpy()
+    return found
 
 
 def nearest_many(df: DataFrame, field: str, queries: DataFrame, query_field: str, k: int, distance: str = "cosine", id: str = "id", query_id: str = "id") -> DataFrame:
     """(query_id, id, distance): for each of the queries the k rows nearest to it, ties by id.
 
     Queries are broadcast in blocks of bounded size, each against all rows; a task keeps k rows
-    for each query and batch.  Null vectors, and with cosine those of length 0, are near nothing.
+    for each query of a block, and a bounded number of scores.  Null vectors, those that are not finite, and with
+    cosine those of length 0, are near nothing.
     """
     if distance not in ("cosine", "euclidean"):
         raise ValueError("many queries go by cosine or euclidean")
     wanted = queries.select(F.col(query_id).alias("id"), F.col(query_field).cast("array<double>").alias("v")).filter("v is not null")
     spark, kind, other = df.sparkSession, df.schema[id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
     schema = f"query_id {other}, id {kind}, distance double"
+    # the work goes with the product of both sides, not with the bytes of a file: rows are dealt to all cores
+    rows = df.select(F.col(id).alias("id"), F.col(field).cast("array<double>").alias("v")).filter("v is not null").repartition(2 * spark.sparkContext.defaultParallelism, "id")
     found, block = None, []
 
-    def against(rows: list) -> DataFrame:
-        given = spark.sparkContext.broadcast(([r["id"] for r in rows], np.array([r["v"] for r in rows])))
+    def usable(m: np.ndarray) -> np.ndarray:
+        length = (m**2).sum(axis=1)
+        return np.isfinite(length) & (length > 0) if distance == "cosine" else np.isfinite(length)
+
+    def against(block: list) -> DataFrame:
+        q = np.stack([v for _, v in block])
+        fit = usable(q)
+        given = spark.sparkContext.broadcast(([name for (name, _), f in zip(block, fit) if f], q[fit]))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, q = given.value
-            for x in batches:
-                if not len(x):
-                    continue
-                m, own = np.stack(x["v"].to_numpy()).astype(float), x["id"].to_numpy()
-                if distance == "cosine":
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        d = 1 - (q @ m.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(m, axis=1)
-                else:
-                    d = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + (m**2).sum(axis=1) - 2 * q @ m.T, 0))
-                for name, line in zip(names, d):
-                    order = np.lexsort((own, line))[:k]
-                    order = order[~np.isnan(line[order])]
-                    yield pd.DataFrame({"query_id": [name] * len(order), "id": own[order], "distance": line[order]})
 
-        return df.select(F.col(id).alias("id"), F.col(field).cast("array<double>").alias("v")).filter("v is not null").mapInPandas(run, schema)
+            def vectors():
+                for x in batches:
+                    if len(x) and len(q):
+                        m = np.stack(x["v"].to_numpy()).astype(float)
+                        fit = usable(m)
+                        if fit.any():
+                            yield x["id"].to_numpy()[fit], m[fit]
+
+            found = _nearest_in(vectors(), q, k, distance)
+            if len(found):
+                yield pd.DataFrame({"query_id": [names[i] for i in found["query"]], "id": found["id"].to_numpy(), "distance": found["distance"].to_numpy()})
+
+        return rows.mapInPandas(run, schema)
 
     for r in wanted.toLocalIterator():
-        block.append(r)
+        block.append((r["id"], np.array(r["v"], dtype=float)))
         if len(block) * len(r["v"]) >= BLOCK_NUMBERS:
             found, block = against(block) if found is None else found.unionByName(against(block)), []
     if block:
