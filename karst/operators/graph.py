@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType
 
 
 def fetch(df: DataFrame, field: str, target: DataFrame, key: str = "id") -> DataFrame:
@@ -68,18 +69,31 @@ def check_depth(least: int, most: int | None) -> None:
         raise ValueError("the largest depth is below the smallest")
 
 
+#: Nodes, or edges, that are broadcast at most: some 40 MB.
+FEW = 500_000
+
+
+def _same(left: str, right: str, kind: DataType) -> Column:
+    """left = right; hashes of strings come first, since ids such as customer:1 and customer:2 begin alike and are slow to sort."""
+    same = F.col(left) == F.col(right)
+    return (F.xxhash64(left) == F.xxhash64(right)) & same if isinstance(kind, StringType) else same
+
+
 def reach(sources: DataFrame, edges: DataFrame, least: int = 1, most: int | None = None, direction: str = "out", key: str = "id", folder: str | None = None) -> DataFrame:
     """(source, node, depth): nodes whose shortest distance from a source is within bounds.
 
-    Breadth first: each round follows the newest nodes only, and an anti join drops
-    those already seen, so cycles end.  Rounds are written to ``folder`` (by default
+    Breadth first: each round follows the newest nodes only, and those already seen drop out by their smaller
+    depth, so cycles end.  Edges and rounds are written to ``folder`` (by default
     spark.checkpoint.dir), which bounds the plan, as each round reads all before it; a search of more than
     one round needs the folder.  Without a largest depth it goes on until a round finds nothing new.
+    Nodes without edges ahead are marked and not followed.  Where a round starts from few nodes, only
+    their edges, and what was seen of these edges' ends, take part in it.
     """
     check_depth(least, most)
     spark = sources.sparkSession
     folder = folder or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and (most is None or most > 1):
+    several = most is None or most > 1
+    if folder is None and several:
         raise ValueError("a search of several rounds needs spark.checkpoint.dir")
 
     def kept(df: DataFrame) -> DataFrame:
@@ -89,20 +103,37 @@ def reach(sources: DataFrame, edges: DataFrame, least: int = 1, most: int | None
         df.write.parquet(place)
         return spark.read.schema(df.schema).parquet(place)
 
-    ends = _ends(edges, direction).filter(F.col("_from").isNotNull() & F.col("_to").isNotNull()).distinct()
-    new = kept(sources.select(F.col(key).alias("source")).filter("source is not null").distinct().select("source", F.col("source").alias("node"), F.lit(0).alias("depth")))
+    pairs = _ends(edges, direction).filter(F.col("_from").isNotNull() & F.col("_to").isNotNull())
+    ends, kind = pairs.distinct(), pairs.schema["_from"].dataType
+    if several:
+        starts = pairs.select(F.col("_from").alias("_start")).distinct()
+        ends = kept(ends.join(starts, _same("_to", "_start", kind), "left").select("_from", "_to", F.col("_start").isNotNull().alias("_on")))
+    else:
+        ends = ends.withColumn("_on", F.lit(True))
+    first = sources.select(F.col(key).alias("source")).filter("source is not null").distinct()
+    new = kept(first.select("source", F.col("source").alias("node"), F.lit(0).alias("depth"), F.lit(True).alias("_on")))
     rounds, depth = [new], 0
     while most is None or depth < most:
         seen = rounds[0]
         for r in rounds[1:]:
             seen = seen.unionByName(r)
         depth += 1
-        ahead = new.join(ends, new["node"] == ends["_from"]).select("source", F.col("_to").alias("node")).distinct()
-        new = kept(ahead.join(seen, ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if folder is not None and new.isEmpty():
-            break
+        new, hops = new.filter("_on").select("source", "node"), ends
+        if several:
+            nodes = new.select(F.col("node").alias("_from")).distinct()
+            count = nodes.count()
+            if not count:
+                break
+            if count <= FEW:
+                hops = kept(ends.join(F.broadcast(nodes), "_from", "left_semi"))
+                if hops.count() <= FEW:
+                    hops = F.broadcast(hops)
+                    seen = seen.join(F.broadcast(hops.select(F.col("_to").alias("node")).distinct()), "node", "left_semi").select(seen.columns)
+        ahead = new.join(hops, _same("node", "_from", kind)).select("source", F.col("_to").alias("node"), F.lit(depth).alias("depth"), "_on")
+        shortest = seen.unionByName(ahead).groupBy("source", "node").agg(F.min("depth").alias("depth"), F.max("_on").alias("_on"))
+        new = kept(shortest.filter(F.col("depth") == depth))
         rounds.append(new)
     out = rounds[0]
     for r in rounds[1:]:
         out = out.unionByName(r)
-    return out.filter(F.col("depth") >= least)
+    return out.filter(F.col("depth") >= least).select("source", "node", "depth")
