@@ -188,11 +188,15 @@ def bm25(df: DataFrame, field: str, query: str, id: str = "id", k1: float = 1.2,
     return rows.filter(test).join(F.broadcast(totals)).select("id", scored.alias(to))
 
 
+#: Tasks over which the postings of one term are dealt.
+SPREAD = 32
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings (term, id, tf, n) in order of their term, and the table's statistics, under one folder.
+    """Postings (term, id, n, tf), each file in order of their term, and the table's statistics, under one folder.
 
-    A search reads the row groups of its own terms only.  Building it anew is one more ``build``.
+    A search skips what can't hold its own terms, by the statistics of the files.  Building it anew is one more ``build``.
     """
 
     spark: SparkSession
@@ -201,10 +205,19 @@ class TextIndex:
 
     @classmethod
     def build(cls, df: DataFrame, field: str, path: str, id: str = "id", **analyser) -> TextIndex:
-        rows = df.select(F.col(id).alias("id"), tokens(F.coalesce(F.col(field), F.lit("")), **analyser).alias("words")).withColumn("n", F.size("words"))
-        postings = rows.select("id", "n", F.explode("words").alias("term")).groupBy("term", "id", "n").agg(F.count(F.lit(1)).alias("tf"))
-        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        rows.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
+        # equal words of a text lie side by side once sorted: they are counted in their row, each text is cut once
+        rows = df.select(F.col(id).alias("id"), F.sort_array(tokens(F.coalesce(F.col(field), F.lit("")), **analyser)).alias("words")).withColumn("n", F.size("words"))
+        firsts = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (i == 1) | (F.get("words", i - 1) != F.get("words", i - 2)))
+        rows = rows.withColumn("at", F.when(F.col("n") > 0, firsts).otherwise(F.array().cast("array<int>")))
+        counted = F.transform("at", lambda i, k: F.struct(F.get("words", i - 1).alias("term"), (F.coalesce(F.get("at", k + 1), F.col("n") + 1) - i).cast("long").alias("tf")))
+        # a row without a term stands for each text
+        own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
+        postings = rows.select("id", "n", F.inline(F.concat(own, counted))).select("term", "id", "n", "tf")
+        # a frequent term's postings are dealt to SPREAD tasks
+        dealt = postings.repartition("term", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+        dealt.sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        texts = df.sparkSession.read.parquet(f"{path}/postings").filter("term is null")
+        texts.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
         return cls(df.sparkSession, path, tuple(analyser.items()))
 
     def search(self, query: str, k1: float = 1.2, b: float = 0.75, all_terms: bool = False, to: str = "score") -> DataFrame:

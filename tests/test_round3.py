@@ -75,3 +75,21 @@ def test_reach_ends_where_nothing_leads_on(spark, tmp_path):
     depths = [spark.read.parquet(str(p)) for p in tmp_path.glob("karst-reach-*")]
     assert max(d.agg(F.max("depth")).first()[0] for d in depths if "depth" in d.columns) == 2
     assert sum("depth" in d.columns for d in depths) == 3
+
+
+def test_text_index_cuts_each_text_once(spark, tmp_path, monkeypatch):
+    """Postings are counted in their rows; the statistics come from them, also for texts without words."""
+    df = spark.createDataFrame([(1, "the cat The dog"), (2, "a cat"), (3, None), (4, ""), (5, "..."), (6, "the " * 50)], "id long, text string").repartition(3)
+    cut = spark.sparkContext.accumulator(0)
+
+    def once(text):
+        cut.add(1)
+        return text
+
+    index = search.TextIndex.build(df.withColumn("text", F.udf(once)("text")), "text", f"file://{tmp_path}/i")
+    assert cut.value == 6
+    found = spark.read.parquet(f"{index.path}/postings").filter("term is not null")
+    assert sorted((r["term"], r["id"], r["n"], r["tf"]) for r in found.collect()) == [("a", 2, 2, 1), ("cat", 1, 4, 1), ("cat", 2, 2, 1), ("dog", 1, 4, 1), ("the", 1, 4, 2), ("the", 6, 50, 50)]
+    assert spark.read.parquet(f"{index.path}/totals").first()["docs"] == 6
+    show = lambda x: sorted((r["id"], round(r["score"], 9)) for r in x.collect())
+    assert show(index.search("the cat")) == show(search.bm25(df, "text", "the cat"))
