@@ -169,8 +169,6 @@ def _graph(db: Files) -> _Shown:
         suppliers=lambda: ids(db, "supplier", "s_suppkey", "supplier"),
         placed=lambda: db.frame("orders").select(key("customer", "o_custkey").alias("in"), key("order", "o_orderkey").alias("out")),
         holds=lambda: db.frame("lineitem").select(key("order", "l_orderkey").alias("in"), key("part", "l_partkey").alias("out")),
-        uses=lambda: db.frame("lineitem").select(key("order", "l_orderkey").alias("in"), key("part", "l_partkey").alias("out")).unionByName(db.frame("lineitem").select(key("order", "l_orderkey").alias("in"), key("supplier", "l_suppkey").alias("out"))),
-        things=lambda: ids(db, "part", "p_partkey", "part").select("id", "p_name").unionByName(ids(db, "supplier", "s_suppkey", "supplier").select("id", "s_name"), allowMissingColumns=True),
     )
 
 
@@ -180,7 +178,28 @@ KEYS = "array_to_string(coalesce(list(o_orderkey ORDER BY 'order:' || o_orderkey
 simple("traverse_out", f"SELECT c_custkey, {KEYS} AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1", lambda db: Select(_graph(db), "customers").out("placed", "orders_", "found").df().select("c_custkey", F.array_join(F.transform("found", lambda x: x["o_orderkey"].cast("string")), ",").alias("orders")))
 simple("traverse_in", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", lambda db: Select(_graph(db), "orders_").in_("placed", "customers", "by").df().select("o_orderkey", F.explode("by.c_name").alias("c_name")))
 simple("traverse_multihop", "SELECT c_custkey, count(DISTINCT l_partkey) AS parts FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1", lambda db: graph.path(_graph(db).frame("customers"), [(_graph(db).frame("placed"), "out"), (_graph(db).frame("holds"), "out")], _graph(db).frame("parts"), "parts").select("c_custkey", F.size("parts").cast("long").alias("parts")))
-simple("traverse_multi_target", "SELECT o_orderkey, count(l_partkey) AS parts, count(l_suppkey) AS suppliers FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1", lambda db: graph.step(_graph(db).frame("orders_"), _graph(db).frame("uses"), _graph(db).frame("things"), "t").select("o_orderkey", F.size(F.filter("t", lambda x: x["p_name"].isNotNull())).cast("long").alias("parts"), F.size(F.filter("t", lambda x: x["s_name"].isNotNull())).cast("long").alias("suppliers")))
+
+
+KINDS = ["customer", "order", "part", "supplier", "nation", "region"]
+
+
+def _number(kind: str, c: str):
+    """The id kind:c as a number: the traversal of all rows moves and sorts numbers, not strings."""
+    return F.col(c).cast("long") * 8 + KINDS.index(kind)
+
+
+def _multi_target(db: Files) -> DataFrame:
+    """Parts and suppliers behind each order: ids are numbers, and of a target only whether it has a name is gathered."""
+    number = lambda table, kind, c, *more: db.frame(table).select(_number(kind, c).alias("id"), *more)
+    pair = lambda kind, c: db.frame("lineitem").select(_number("order", "l_orderkey").alias("in"), _number(kind, c).alias("out"))
+    things = number("part", "part", "p_partkey", F.col("p_name").isNotNull().alias("part"), F.lit(False).alias("supplier"))
+    things = things.unionByName(number("supplier", "supplier", "s_suppkey", F.lit(False).alias("part"), F.col("s_name").isNotNull().alias("supplier")))
+    found = graph.step(number("orders", "order", "o_orderkey", "o_orderkey"), pair("part", "l_partkey").unionByName(pair("supplier", "l_suppkey")), things, "t")
+    size = lambda test: F.size(F.filter("t", test)).cast("long")
+    return found.select("o_orderkey", size(lambda x: x["part"]).alias("parts"), size(lambda x: x["supplier"]).alias("suppliers"))
+
+
+simple("traverse_multi_target", "SELECT o_orderkey, count(l_partkey) AS parts, count(l_suppkey) AS suppliers FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1", lambda db: _multi_target(db))
 EDGES = "edges AS (SELECT DISTINCT l_suppkey AS a, (l_partkey % 90 + 1)::BIGINT AS b FROM lineitem WHERE l_linenumber = 7 AND l_suppkey <= 90)"
 edges = lambda db: db.frame("lineitem").filter("l_linenumber = 7 and l_suppkey <= 90").select(F.col("l_suppkey").alias("in"), (F.col("l_partkey") % 90 + 1).alias("out"))
 sources = lambda db: db.frame("supplier").filter("s_suppkey <= 5").select(F.col("s_suppkey").alias("id"))
@@ -202,14 +221,6 @@ def traverse_depth_unbounded(db):
     return graph.reach(sources(db), edges(db), 2, None, folder=_rounds(db))
 
 
-KINDS = ["customer", "order", "part", "supplier", "nation", "region"]
-
-
-def _number(kind: str, c: str):
-    """The id kind:c as a number: the traversal of all rows moves and sorts numbers, not strings."""
-    return F.col(c).cast("long") * 8 + KINDS.index(kind)
-
-
 def _numbered(c: str):
     kind = F.col(c).bitwiseAND(7).cast("int")
     return F.concat(F.element_at(F.array(*map(F.lit, KINDS)), kind + 1), F.lit(":"), F.shiftright(c, 3).cast("string")).alias(c)
