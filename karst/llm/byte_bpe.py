@@ -3,9 +3,12 @@
 Tier one is a minimal perfect hash over the vocabulary: a pre-token that is an
 entry as a whole costs one hash, one probe and one comparison of bytes.  Tier two
 merges what misses: its bytes form a linked list, a heap holds the pairs that
-merge by rank, and stale pairs are skipped.  Pre-tokens already seen by a worker
-come from a bounded cache.  The tables (as large as the vocabulary file, whatever
-the input) are built on the driver and broadcast.
+merge by rank, and stale pairs are skipped.  Both halves of a pair are entries, so
+a pair is known by their two ids and its bytes are not hashed again.  What a worker
+has already seen comes from a bounded cache: pre-tokens, and chunks from one space to
+the next, as far as the pattern never looks across a space that a word follows.  The
+tables (as large as the vocabulary file, whatever the input) are built on the driver
+and broadcast.
 
 Defined results: null text is empty text with no ids; unpaired surrogates become
 U+FFFD as they cannot be written in UTF-8; repeated rows get equal rows; an empty
@@ -16,28 +19,39 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import as_text, documents
 
-#: Pre-tokens kept by a worker; beyond it the cache starts anew.
+#: Pre-tokens and chunks kept by a worker; beyond it the cache starts anew.
 CACHE = 1_500_000
+#: Characters of the longest pre-token or chunk that is kept.
+KEPT = 64
+#: Characters after which a long text is cut at the next place where a chunk begins.
+BLOCK = 1 << 20
 #: Bytes of ids gathered before they are handed on.
 FLUSH = 1 << 24
+#: Ids written out or decoded at once.
+STEP = 1 << 20
+#: Patterns for which a match begins at every space that no white space follows, and the text before that space is
+#: matched as if it ended there: no match runs on from other characters into white space, a run of white space leaves
+#: its last space to the word behind it, and the only look ahead finds the same at a space as at the end of the text.
+SPACED = {r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""}
+_CUT = re.compile(r" (?=\S)")
 _M = (1 << 64) - 1
 
-
-def _hash(key: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(key)
+_hash = xxhash.xxh3_64_intdigest
 
 
 def _place(h: int, d: int, n: int) -> int:
@@ -91,6 +105,44 @@ class PerfectHash:
         return self.values[s] if self.slots[s] == key else -1
 
 
+class _Uneven(Exception):
+    """White space follows a space, so a chunk doesn't begin there."""
+
+
+class _Words(dict):
+    """pre-token -> its packed ids."""
+
+    def __init__(self, pack):
+        self.pack = pack
+
+    def __missing__(self, token: str) -> bytes:
+        packed = self.pack(token)
+        if len(token) <= KEPT:
+            self[token] = packed
+        return packed
+
+
+class _Chunks(dict):
+    """what stands between a space and the next chunk -> packed ids of both, the space in front included."""
+
+    def __init__(self, find, words: _Words, scan):
+        self.find, self.words, self.scan = find, words, scan
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace():
+            raise _Uneven
+        if len(chunk) > KEPT:
+            return self.scan(" " + chunk)
+        if chunk.isascii() and chunk.isalpha():
+            packed = self.words.pack(" " + chunk)
+        else:
+            first, *rest = self.find(" " + chunk)
+            # the first pre-token is a chunk of its own where others follow, so it is kept once
+            packed = self[first[1:]] + b"".join(map(self.words.__getitem__, rest)) if rest else self.words.pack(first)
+        self[chunk] = packed
+        return packed
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         tokens = sorted(ranks, key=ranks.get)
@@ -100,13 +152,29 @@ class Codec:
         self.token = [b""] * (max(self.rank, default=-1) + 1)
         for t, r in ranks.items():
             self.token[r] = t
-        # merging starts from single bytes and pairs of them: their ranks, without a hash
+        # merging starts from single bytes; for each id the ids that may follow it, with what the two merge to
         self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
-        self.pair = {t: r for t, r in ranks.items() if len(t) == 2}
-        self.cache: dict[str, bytes] = {}
+        none: dict[int, int] = {}
+        self.pair = [none] * len(self.token)
+        for t, r in ranks.items():
+            for i in range(1, len(t)):
+                if t[:i] in ranks and t[i:] in ranks:
+                    left = ranks[t[:i]]
+                    if self.pair[left] is none:
+                        self.pair[left] = {}
+                    self.pair[left][ranks[t[i:]]] = r
+        self.chunks = None
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}, "_find": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("find", "words")} | {"chunks": None}
+
+    def _open(self) -> None:
+        """The caches of this process."""
+        import regex
+
+        self.find = regex.compile(self.pattern)
+        self.words = _Words(self._pack)
+        self.chunks = _Chunks(self.find.findall, self.words, self._scan)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
@@ -121,68 +189,89 @@ class Codec:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token that is no entry: the lowest rank merges first, the leftmost of equals."""
-        n = len(word)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        end = list(range(1, n + 1))
+        n, pair = len(word), self.pair
         ids = [self.single[b] for b in word]
         if -1 in ids:
             raise ValueError("the vocabulary lacks a single byte of this text")
-        heap = []
-        for i in range(n - 1):
-            r = self.pair.get(word[i : i + 2])
-            if r is not None:
-                heap.append((r, i, i + 2))
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # the rank to which the part at a place merges with the one after it, or -1; the heap has rank and place in one number
+        due = [pair[a].get(b, -1) for a, b in zip(ids, ids[1:])]
+        due.append(-1)
+        bits = n.bit_length()
+        low = (1 << bits) - 1
+        heap = [r << bits | i for i, r in enumerate(due) if r >= 0]
         heapify(heap)
-        alive = [True] * n
         while heap:
-            r, i, stop = heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or end[j] != stop or not alive[i]:
+            top = heappop(heap)
+            i, r = top & low, top >> bits
+            if due[i] != r:
                 continue  # one of its halves has merged meanwhile
-            alive[j] = False
-            ids[i] = r
-            end[i], after[i] = stop, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                s = self.lookup(word[i : end[after[j]]])
+            gone = after[i]
+            ids[i], ids[gone], due[gone] = r, -1, -1
+            j = after[i] = after[gone]
+            if j < n:
+                before[j] = i
+                s = due[i] = pair[r].get(ids[j], -1)
                 if s >= 0:
-                    heappush(heap, (s, i, end[after[j]]))
-            if before[i] >= 0:
-                k = before[i]
-                s = self.lookup(word[k:stop])
+                    heappush(heap, s << bits | i)
+            else:
+                due[i] = -1
+            k = before[i]
+            if k >= 0:
+                s = due[k] = pair[ids[k]].get(r, -1)
                 if s >= 0:
-                    heappush(heap, (s, k, stop))
-        out, i = [], 0
-        while i < n:
-            out.append(ids[i])
-            i = after[i]
-        return out
-
-    def word(self, token: str) -> bytes:
+                    heappush(heap, s << bits | k)
+        return [x for x in ids if x >= 0]
+
+    def _pack(self, token: str) -> bytes:
         key = token.encode("utf-8", "replace")
         r = self.lookup(key)
         ids = [r] if r >= 0 else self.merge(key)
-        packed = np.array(ids, dtype="<i4").tobytes()
-        if len(token) <= 64:
-            self.cache[token] = packed
-        return packed
+        return pack(f"<{len(ids)}i", *ids)
 
-    def encode(self, text: str) -> np.ndarray:
-        if getattr(self, "_find", None) is None:
-            import regex
-
-            self._find = regex.compile(self.pattern)
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        get, word = self.cache.get, self.word
-        if len(text) < 1 << 22:
-            return np.frombuffer(b"".join([get(t) or word(t) for t in self._find.findall(text)]), dtype="<i4")
-        found, parts = self._find.finditer(text), []
+    def _scan(self, text: str) -> bytes:
+        """By the pattern alone."""
+        if len(text) < BLOCK:
+            return b"".join(map(self.words.__getitem__, self.find.findall(text)))
+        found, parts = self.find.finditer(text), []
         while some := [m.group() for m in islice(found, 1 << 16)]:
-            parts.append(b"".join([get(t) or word(t) for t in some]))
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-        return np.frombuffer(b"".join(parts), dtype="<i4")
+            parts.append(b"".join(map(self.words.__getitem__, some)))
+            self._bound()
+        return b"".join(parts)
+
+    def _block(self, text: str) -> bytes:
+        """Chunk by chunk."""
+        self._bound()
+        first, *rest = text.split(" ")
+        try:
+            found = b"".join(map(self.chunks.__getitem__, rest))
+        except _Uneven:
+            first, *rest = _CUT.split(text)
+            found = b"".join(map(self.chunks.__getitem__, rest))
+        return self._scan(first) + found
+
+    def _bound(self) -> None:
+        if len(self.words) + len(self.chunks) > CACHE:
+            self.words.clear()
+            self.chunks.clear()
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a whole text, four bytes each."""
+        if self.chunks is None:
+            self._open()
+        if self.pattern not in SPACED:
+            self._bound()
+            return self._scan(text)
+        if len(text) <= BLOCK:
+            return self._block(text)
+        parts, lo = [], 0
+        while m := _CUT.search(text, lo + BLOCK):
+            parts.append(self._block(text[lo : m.start()]))
+            lo = m.start()
+        return b"".join(parts) + self._block(text[lo:])
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.packed(text), dtype="<i4")
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -218,20 +307,48 @@ def decode(encoded: DataFrame, codec: Codec) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, data binary")
 
 
+def _digests(entries: pa.Array, ids: np.ndarray, ends: list[int], lead: int) -> list[str]:
+    """SHA-256 of the entries that each row's ids name, joined; the first lead bytes of a row are left out.  ends: of the rows among ids."""
+    sums, row, start = [hashlib.sha256() for _ in ends], 0, 0
+    for lo in range(0, len(ids), STEP):
+        hi = min(lo + STEP, len(ids))
+        _, places, data = entries.take(pa.array(ids[lo:hi])).buffers()
+        at, data = np.frombuffer(places, "<i8"), memoryview(data)
+        while row < len(ends):
+            a, b = max(start, lo), min(ends[row], hi)
+            if a < b:
+                sums[row].update(data[at[a - lo] + (lead if a == start else 0) : at[b - lo]])
+            if ends[row] > hi:
+                break
+            start = ends[row]
+            row += 1
+    return [x.hexdigest() for x in sums]
+
+
 def round_trip(docs: DataFrame, codec: Codec, text: str = "text", id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids in decimal and of the bytes they decode to; ids stay in the task."""
     shared = docs.sparkSession.sparkContext.broadcast(codec)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = shared.value
-        decimal = list(map(str, range(len(codec.token))))
+        decimal = pa.array([b" %d" % i for i in range(len(codec.token))], pa.large_binary())
+        token = pa.array(codec.token, pa.large_binary())
+
+        def rows(own: list, parts: list[bytes]) -> pd.DataFrame:
+            ids, lengths = np.frombuffer(b"".join(parts), "<i4"), [len(p) // 4 for p in parts]
+            ends = np.cumsum(lengths, dtype=np.int64).tolist()
+            return pd.DataFrame({"doc_id": own, "n_tokens": lengths, "ids_sha256": _digests(decimal, ids, ends, 1), "decoded_sha256": _digests(token, ids, ends, 0)})
+
         for x in batches:
-            rows = []
+            own, parts, held = [], [], 0
             for d, t in zip(x["id"], x["text"]):
-                ids = codec.encode(t).tolist()
-                written = " ".join(map(decimal.__getitem__, ids)).encode()
-                rows.append((d, len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                own.append(d)
+                parts.append(codec.packed(t))
+                held += len(parts[-1])
+                if held > 4 * STEP:
+                    yield rows(own, parts)
+                    own, parts, held = [], [], 0
+            yield rows(own, parts)
 
     return docs.select(F.col(id).cast("long").alias("id"), as_text(text).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import pickle
 import re
 import zlib
 
@@ -241,6 +242,49 @@ def test_bpe_random_and_long(codec):
     assert codec.encode(s).tolist() == own.encode_ordinary(s)
 
 
+def test_bpe_hashes_each_pre_token_once(codec, monkeypatch):
+    import random
+
+    rng, calls = random.Random(11), []
+    words = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(300)})
+    text = " ".join(rng.choice(words) + rng.choice(["", ",", ".\n"]) for _ in range(3000))
+    fresh, hashed = pickle.loads(pickle.dumps(codec)), byte_bpe._hash
+    monkeypatch.setattr(byte_bpe, "_hash", lambda key: calls.append(key) or hashed(key))
+    assert fresh.encode(text).tolist() == reference().encode_ordinary(text)
+    # each word, the first one without a space, and three kinds of what stands behind: merges hash nothing, chunks share words
+    assert len(calls) <= len(words) + 4
+
+
+def test_bpe_chunks_of_white_space(codec, monkeypatch):
+    import random
+
+    assert public_tokenizers.PATTERN in byte_bpe.SPACED
+    own, rng = reference(), random.Random(12)
+    parts = [" ", "  ", "\n", " \n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "a", "the", "B9", "é", "漢字", "🙂", "'s", "'", "...", "²", "\u0301", "x" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    expected = [own.encode_ordinary(t) for t in texts]
+    assert [codec.encode(t).tolist() for t in texts] == expected
+    for block, cache in ((16, 1 << 20), (1 << 20, 50), (3, 1)):
+        monkeypatch.setattr(byte_bpe, "BLOCK", block)
+        monkeypatch.setattr(byte_bpe, "CACHE", cache)
+        assert [codec.encode(t).tolist() for t in texts] == expected
+    other = byte_bpe.Codec({bytes([b]): b for b in range(256)} | {b"a b": 256, b" b": 257}, r"[a-z ]+|[^a-z ]+")
+    assert other.encode("a b, a b").tolist() == [256, 44, 32, 256]
+
+
+def test_bpe_digests_in_steps(codec, monkeypatch):
+    import pyarrow as pa
+
+    ids = [[5], [], [1, 2, 3, 4, 5, 6, 7], [], [256, 257], [300] * 9, []]
+    flat, ends = np.array(sum(ids, []), "<i4"), np.cumsum([len(x) for x in ids]).tolist()
+    decimal = pa.array([b" %d" % i for i in range(len(codec.token))], pa.large_binary())
+    token = pa.array(codec.token, pa.large_binary())
+    for step in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(byte_bpe, "STEP", step)
+        assert byte_bpe._digests(decimal, flat, ends, 1) == [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
+        assert byte_bpe._digests(token, flat, ends, 0) == [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]
+
+
 def test_perfect_hash_is_minimal():
     keys = [f"k{i}".encode() for i in range(3000)]
     h = byte_bpe.PerfectHash(keys)
